@@ -40,9 +40,12 @@ def removals(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "t").agg(F.collect_set("p").alias("gone"))
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """docs with shorter texts. Adds nothing: the columns are those of docs."""
-    return _cut(docs).select(*[F.col("d." + f"`{c}`") if c != "text" else F.col("kept").alias("text") for c in docs.columns])
+def deduped(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+    """docs with shorter texts, in the columns of docs; drop_emptied leaves out rows that lost all their lines."""
+    rows = _cut(docs)
+    if drop_emptied:
+        rows = rows.where(F.col("gone").isNull() | (F.size("covered") < F.size(F.split(F.col("d.text"), "\n", -1))))
+    return rows.select(*[F.col("d." + f"`{c}`") if c != "text" else F.col("kept").alias("text") for c in docs.columns])
 
 
 def _cut(docs: DataFrame) -> DataFrame:
