@@ -44,23 +44,23 @@ def deduped(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """docs with shorter texts, in the columns of docs; drop_emptied leaves out rows that lost all their lines."""
     rows = _cut(docs)
     if drop_emptied:
-        rows = rows.where(F.col("gone").isNull() | (F.size("covered") < F.size(F.split(F.col("d.text"), "\n", -1))))
-    return rows.select(*[F.col("d." + f"`{c}`") if c != "text" else F.col("kept").alias("text") for c in docs.columns])
+        rows = rows.where(F.col("_lx_gone").isNull() | (F.size("_lx_covered") < F.size(F.split(F.col("d.text"), "\n", -1))))
+    return rows.select(*[F.col("d." + f"`{c}`") if c != "text" else F.col("_lx_kept").alias("text") for c in docs.columns])
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    gone = removals(docs).withColumnsRenamed({"doc_id": "_id", "t": "_t"})
-    joined = docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("d.text") == F.col("_t")), "left")
+    gone = removals(docs).withColumnsRenamed({"doc_id": "_lx_id", "t": "_lx_t", "gone": "_lx_gone"})
+    joined = docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("_lx_id")) & (F.xxhash64("d.text") == F.col("_lx_t")), "left")
     lines = F.split(F.col("d.text"), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("gone", lambda p: F.array(p, p + 1, p + 2))))
-    kept = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("covered"), s["i"]))["x"], "\n"))
-    return joined.withColumn("covered", F.when(F.col("gone").isNotNull(), covered)).withColumn("kept", kept)
+    covered = F.array_distinct(F.flatten(F.transform("_lx_gone", lambda p: F.array(p, p + 1, p + 2))))
+    kept = F.when(F.col("_lx_gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_lx_covered"), s["i"]))["x"], "\n"))
+    return joined.withColumn("_lx_covered", F.when(F.col("_lx_gone").isNotNull(), covered)).withColumn("_lx_kept", kept)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: what is left and how many lines went."""
     left = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(F.split(F.col("d.text"), "\n", -1)))
-    return _cut(docs).select(F.col("d.doc_id").alias("doc_id"), left.cast("long").alias("n_lines"), F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return _cut(docs).select(F.col("d.doc_id").alias("doc_id"), left.cast("long").alias("n_lines"), F.coalesce(F.size("_lx_covered"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("_lx_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = """

@@ -85,12 +85,12 @@ def epochs(docs: DataFrame) -> DataFrame:
 
     The part of a document's words ends after the last of its taken words; the white space before it stays.
     """
-    takes = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("size").alias("_n"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_t"])
-    joined = docs.alias("d").join(takes, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("d.text") == F.col("_t")))
-    counts = F.concat(F.array_repeat(F.col("_n"), F.floor(F.col("_taken") / F.col("_n")).cast("int")), F.when(F.col("_taken") % F.col("_n") > 0, F.array(F.col("_taken") % F.col("_n"))).otherwise(F.array().cast("array<bigint>")))
-    rows = joined.withColumn("_take", F.explode(counts))
+    takes = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("_lx_id"), F.col("t").alias("_lx_t"), F.col("size").alias("_lx_n"), F.col("taken").alias("_lx_taken")).dropDuplicates(["_lx_id", "_lx_t"])
+    joined = docs.alias("d").join(takes, F.col("d.doc_id").eqNullSafe(F.col("_lx_id")) & (F.xxhash64("d.text") == F.col("_lx_t")))
+    counts = F.concat(F.array_repeat(F.col("_lx_n"), F.floor(F.col("_lx_taken") / F.col("_lx_n")).cast("int")), F.when(F.col("_lx_taken") % F.col("_lx_n") > 0, F.array(F.col("_lx_taken") % F.col("_lx_n"))).otherwise(F.array().cast("array<bigint>")))
+    rows = joined.withColumn("_lx_take", F.explode(counts))
     space = r"[\x20\x09-\x0D]+"
     leads = F.regexp_like("d.text", F.lit("^" + space)).cast("int")
-    rest = F.element_at(F.split("d.text", space, F.col("_take").cast("int") + 1 + leads), -1)
+    rest = F.element_at(F.split("d.text", space, F.col("_lx_take").cast("int") + 1 + leads), -1)
     cut = F.regexp_replace(F.substr("d.text", F.lit(1), F.length("d.text") - F.length(rest)), space + "$", "")
-    return rows.select(*[F.when(F.col("_take") == F.col("_n"), F.col("d.text")).otherwise(cut).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
+    return rows.select(*[F.when(F.col("_lx_take") == F.col("_lx_n"), F.col("d.text")).otherwise(cut).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
