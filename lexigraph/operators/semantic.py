@@ -45,7 +45,11 @@ def scores(snippets: DataFrame, query: list[float], library_id: str | None = Non
     own = scope(snippets, library_id, version).where("embedding is not null").select("id", "library_id", "library_version", "embedding")
     if not any(query) or not math.isfinite(sum(query)):
         return own.where("false").select("id", F.lit(0.0).alias("score"))
+    score = V.cosine_to(query, F.col("embedding"))
     if mode == "lsh":
+        # Few rows are scored here, and unrolled sums beside unrolled bands would outgrow a generated method.
+        known = F.array(*[F.lit(float(x)) for x in query])
+        score = V.cosine(known, F.col("embedding"))
         # The band test is an expression over the scanned row; whether any row passes is one number.
         values = V.bands_of(query)
         hit = F.lit(False)
@@ -54,7 +58,7 @@ def scores(snippets: DataFrame, query: list[float], library_id: str | None = Non
         found = own.where(hit).orderBy("id").limit(most or max(limit * 200, 1000))
         some = found.agg((F.count("*") > 0).alias("some"))
         own = own.join(found.select("id", F.lit(True).alias("hit")), "id", "left").crossJoin(F.broadcast(some)).where(F.col("hit") | ~F.col("some"))
-    scored = own.select("id", V.cosine_to(query, F.col("embedding")).alias("score")).where("score is not null")
+    scored = own.select("id", score.alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
