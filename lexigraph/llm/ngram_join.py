@@ -13,8 +13,9 @@ prefix, the first `n/5 + 1` tokens of the order, goes to buckets by token; two l
 Overlaps. Candidates of a bucket are counted fragment by fragment: partial overlaps of the pair in each of PARTS cuts of
 the order, then the sum per pair against the threshold. No bucket emits all its pairs: in each round every row is compared
 with one hub of its bucket, and rows whose component is the hub's are skipped, so a group of near copies costs its size,
-not its square. Once the cross-component pairs that are left are few (linear in the nodes), all of them are tested, so the
-result is exact whatever the hubs were. Compared pairs aren't compared again.
+not its square. Once the cross-component pairs that are left are few (linear in the rows of the buckets), or after ROUNDS, all of them
+are tested, so the result is exact whatever the hubs were: pair by pair in small buckets, in large ones in blocks, whose
+rows' overlaps are products of indicator matrices, cut by cut of the order, and which give no more links than rows.
 
 Defined results: null and empty texts and texts without words have no set, stand alone and have n_shingles 0; texts under
 five words have one shingle, the whole sequence; a null doc_id is a value like another, and a component's id is the least
@@ -26,6 +27,7 @@ Sets are compared by 64-bit hashes: a false equality has odds of about 2^-64 a p
 from __future__ import annotations
 
 import gc
+import logging
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,18 @@ PERCENT = 80
 RANKED = 3
 #: Cuts of the order in which a pair's partial overlaps are counted.
 PARTS = 4
-#: All cross-component pairs are tested at once when there are at most so many a node of the buckets; and hub rounds, at most.
-FEW, ROUNDS = 4, 12
+#: All cross-component pairs are tested at once when there are at most so many for each row of the buckets; hub rounds, at most.
+FEW, ROUNDS = 40, 1
 #: Members of a hub that are compared in one task group.
 STAR = 256
 
+#: A bucket with more strong rows than this is compared in blocks of so many rows, as products of indicator matrices.
+MANY, BLOCK = 64, 2048
+#: Candidate pairs that are sent to every executor rather than shuffled with the sets; 24 bytes each.
+SMALL = 200_000
+
+log = logging.getLogger(__name__)
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -248,13 +257,100 @@ def _sets(part_of: int):
     return run
 
 
+def _sets_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, small: bool) -> DataFrame:
+    """Sets of the pairs' nodes, from a text of each. small: the pairs were counted to be few enough to send to all."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    members = wanted.join(nodes, "node").select("node", F.col("doc_id").alias("_id"))
+    chosen = texts.join(F.broadcast(members) if small else members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    return chosen.mapInArrow(_sets(PARTS), "node long, part int, held binary").dropDuplicates(["node", "part"])
+
+
 def _possible(a: str, b: str):
-    """Whether rows a and b of a bucket can be linked, if their token is the first they share."""
+    """Whether rows a and b of a bucket can be linked, if their token is the first they share.
+
+    With `places` before it, a set of n tokens shares n - place at most, and must share 4/9 of both sizes' sum. A row whose
+    place is beyond n / 9 therefore needs a partner smaller than itself; two such rows can't both have one.
+    """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     most = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
     return ((100 + PERCENT) * most >= PERCENT * (n + m)) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
+def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Of links between n rows, enough to connect what is linked."""
+    root, out = list(range(n)), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs.tolist():
+        x, y = find(a), find(b)
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def _compared(nodes: list, labels: list, strong: list, parts: list[list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """Links (a, b, na, nb) that connect a block's rows: partial overlaps cut by cut of the order, then the sum per pair."""
+    k = len(nodes)
+    sizes = np.array([sum(len(p) for p in ps) for ps in parts], np.int64)
+    first = np.flatnonzero(np.array(strong, bool))
+    overlap = np.zeros((len(first), k), np.float32)
+    for cut in range(PARTS):
+        flat = np.concatenate([ps[cut] for ps in parts])
+        owner = np.repeat(np.arange(k), [len(ps[cut]) for ps in parts])
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
+        width = int(column.max()) + 1 if len(column) else 0
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for at in range(0, width, 1024):
+            lo, hi = np.searchsorted(column, [at, at + 1024])
+            held = np.zeros((k, min(1024, width - at)), np.float32)
+            held[owner[lo:hi], column[lo:hi] - at] = 1
+            overlap += held[first] @ held.T
+    label = np.array(labels, np.int64)
+    linked = ((100 + PERCENT) * overlap >= PERCENT * (sizes[first][:, None] + sizes[None, :])) & (label[first][:, None] != label[None, :])
+    x, y = np.nonzero(linked)
+    return [(nodes[a], nodes[b], int(sizes[a]), int(sizes[b])) for a, b in _spanning(np.stack([first[x], y], axis=1), k)]
+
+
+def _block_links(batches):
+    """Rows (token, i, j, node, label, strong, part, held), sorted by the first three: links of each block."""
+    key, rows = None, {}
+
+    def done():
+        found = _compared([*rows], [r[0] for r in rows.values()], [r[1] for r in rows.values()], [[np.frombuffer(r[2].get(c, b""), np.int64) for c in range(PARTS)] for r in rows.values()]) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], names=["a", "b", "na", "nb"])
+
+    for batch in batches:
+        for token, i, j, node, label, strong, part, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (token, i, j) != key:
+                if rows:
+                    yield done()
+                key, rows = (token, i, j), {}
+            rows.setdefault(node, (label, strong, {}))[2][part] = held
+    if rows:
+        yield done()
+
+
+def _in_blocks(rows_of: DataFrame, tokens: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of buckets with many strong rows. A bucket of b blocks is b * b / 2 tasks' worth of rows, none of them pairs."""
+    own = rows_of.join(tokens.select("token", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "token").withColumn("i", F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks")).cast("int"))
+    own = common.checkpoint(own.select("token", "node", "label", "strong", "blocks", "i"))
+    wanted = own.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
+    sets = _sets_of(wanted, nodes, texts, wanted.count() <= SMALL)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = own.withColumn("j", other).select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "label", "strong").join(sets, "node")
+    dealt = dealt.select("token", "i", "j", "node", "label", "strong", "part", "held").repartition(common.partitions(texts.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_block_links, "a long, b long, na long, nb long").distinct()
+
+
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The operator: rows (doc_id, node, n), links (a, b, na, nb: enough to connect what is linked), labels (node, label)."""
     spark = docs.sparkSession
@@ -269,30 +365,40 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     shared = counted.where("kind = 1").groupBy("node").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("counts")).alias("counts"))
     prefix = shared.join(nodes, "node").select("node", "n", "ranked", "tokens", "counts").mapInArrow(_prefixes, "node long, n long, tokens array<long>, places array<int>")
     buckets = prefix.select("node", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "node", "n", F.col("x.places").alias("place"))
+    # Of two linked rows one at least stands in the first ninth of its set (see _possible): that one is strong.
+    buckets = buckets.withColumn("strong", 9 * F.col("place") <= F.col("n"))
     buckets = common.stored(buckets, "ngram-buckets")
-    multi = buckets.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
-    wanted = buckets.join(multi, "token", "left_semi").select("node").distinct()
-    members = wanted.join(nodes, "node").select("node", F.col("doc_id").alias("_id"))
-    sets = common.stored(texts.join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text").mapInArrow(_sets(PARTS), "node long, part int, held binary").dropDuplicates(["node", "part"]), "ngram-sets")
+    multi = buckets.groupBy("token").agg(F.count("*").alias("k"), F.count_if("strong").alias("s")).where("k > 1 and s > 0")
+    buckets = common.stored(buckets.join(multi, "token", "left_semi"), "ngram-shared")
+    nodes = common.stored(nodes, "ngram-nodes")
     _settle(docs)
 
-    links = tested = labels = None
+    links = tested = labels = tokens = None
     idle = 0
     for step in range(ROUNDS + 1):
-        rows_of = buckets.withColumn("label", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        by = rows_of.groupBy("token", "label").agg(F.count("*").alias("k"), F.min_by(F.struct("node", "n", "place"), F.xxhash64(F.lit(step), F.col("node"))).alias("pick"))
-        tokens = by.groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("own"), F.min_by(F.struct("label", "pick"), F.xxhash64(F.lit(step), F.col("pick.node"))).alias("hub"), F.count("*").alias("labels")).where("labels > 1")
+        rows_of = buckets.withColumn("label", F.col("node"))
+        if labels is not None:  # only buckets that were mixed before can be
+            own = buckets.join(tokens.select("token"), "token", "left_semi").join(F.broadcast(labels) if labels.count() <= SMALL else labels, "node", "left")
+            rows_of = common.checkpoint(own.withColumn("label", F.coalesce("label", "node")))
+        strong = F.when(F.col("strong"), F.struct(F.xxhash64(F.lit(step), F.col("node")).alias("h"), "node", "n", "place"))
+        by = rows_of.groupBy("token", "label").agg(F.count("*").alias("k"), F.count_if("strong").alias("s"), F.min(strong).alias("pick"))
+        hub = F.min_by(F.struct("label", "pick"), F.col("pick.h")).alias("hub")
+        tokens = by.groupBy("token").agg(F.sum("k").alias("all"), F.sum("s").alias("s"), F.sum(F.col("k") * F.col("s")).alias("own"), hub, F.count("*").alias("labels")).where("labels > 1 and s > 0")
         tokens = common.checkpoint(tokens)
-        left = tokens.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
+        left = tokens.agg(F.sum(F.col("all") * F.col("s") - F.col("own")).alias("pairs"), F.sum("all").alias("rows")).first()
         if not left.rows:
             break
         last = left.pairs <= FEW * left.rows or idle >= 2 or step == ROUNDS
         live = rows_of.join(tokens.select("token", "hub.label", "hub.pick").withColumnRenamed("label", "hub_label"), "token").where("label != hub_label") if not last else None
+        big = None
         if last:
-            own = rows_of.join(tokens.select("token"), "token", "left_semi")
+            big = tokens.where(F.col("s") > MANY)
+            own = rows_of.join(tokens.where(F.col("s") <= MANY).select("token"), "token", "left_semi")
             x, y = own.alias("x"), own.alias("y")
-            found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))).where(_possible("x", "y"))
-            pairs = found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+            found = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("x.strong") & (~F.col("y.strong") | (F.col("x.node") < F.col("y.node"))) & (F.col("x.label") != F.col("y.label"))).where(_possible("x", "y"))
+            swap = F.col("x.node") > F.col("y.node")
+            side = lambda c, u, v: F.when(swap, F.col(f"{u}.{c}")).otherwise(F.col(f"{v}.{c}"))
+            pairs = found.select(side("node", "y", "x").alias("a"), side("node", "x", "y").alias("b"), side("n", "y", "x").alias("na"), side("n", "x", "y").alias("nb"))
         else:
             found = live.select(F.struct("node", "n", "place").alias("x"), F.col("pick").alias("y")).where(_possible("x", "y"))
             pairs = found.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n").alias("na"), F.col("x.n").alias("nb"))
@@ -300,9 +406,14 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         if tested is not None:
             pairs = pairs.join(tested, (F.least("a", "b") == tested.lo) & (F.greatest("a", "b") == tested.hi), "left_anti")
         pairs = common.checkpoint(pairs)
+        count = pairs.count()
+        log.info("round %d: %d rows in mixed buckets, %d cross pairs, %d to compare", step, left.rows, left.pairs, count)
         done = pairs.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
         tested = done if tested is None else tested.unionByName(done)
-        new = common.checkpoint(_verified(pairs, sets))
+        new = common.checkpoint(_verified(pairs, _sets_of(pairs, nodes, texts, count <= SMALL)))
+        if big is not None and big.limit(1).count():
+            new = new.unionByName(common.checkpoint(_in_blocks(rows_of, big, nodes, texts)))
+        _settle(docs)
         idle = 0 if new.limit(1).count() else idle + 1
         links = new if links is None else links.unionByName(new)
         labels = graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
