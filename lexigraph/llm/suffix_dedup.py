@@ -5,7 +5,8 @@
    context, at most WIDTH - SEED bytes to its left and WIDTH from it on. Anchors are dealt by the hash of their seed, so all
    places of a repeated window meet in one task. A seed that occurs once is done. A context that occurs twice or more
    has all its windows repeated (the naming step: equal names need no sorting). What is left are contexts at the
-   borders of repeats: one member for each different context of a seed that occurs with several.
+   borders of repeats: one member for each different context of a seed that occurs with several, if it shares with another
+   one of four stretches of 166 bytes, of which each window that holds the seed has one.
 2. Sorting. Each shard's members go through external induced sorting (see `induced`), in blocks of whole seed groups,
    with queues that go to disk above a budget. A run of suffixes whose common prefixes reach WIDTH is one window's
    places; it is repeated if two of them start at different bytes of the corpus or one stands for a repeated context.
@@ -33,6 +34,8 @@ from . import common, induced
 
 WIDTH, SEED = 200, 64
 REACH = WIDTH - SEED
+#: A window holds x bytes left of the seed and REACH - x right of it; whatever x is, it holds one of these stretches (left, right).
+STRETCHES = tuple((i * REACH // 4, REACH - (i + 1) * REACH // 4) for i in range(4))
 #: Bytes of members that are sorted together, unless one seed's group alone is larger.
 BLOCK = 3 << 20
 
@@ -74,8 +77,8 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def anchors(text: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, seed hashes and context hashes of a text of WIDTH bytes or more."""
+def anchors(text: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Places, seed hashes, context hashes, and hashes of STRETCHES (0: beyond the text) of a text of WIDTH bytes or more."""
     n = len(text)
     up, down = powers.to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -87,7 +90,12 @@ def anchors(text: bytes, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.nd
     at = np.flatnonzero(most == seeds)
     a, b = np.maximum(at - REACH, 0), np.minimum(at + WIDTH, n)
     shape = (at - a).astype(np.uint64) * np.uint64(1024) + (b - at).astype(np.uint64)
-    return at, seeds[at].view(np.int64), _mixed((sums[b] - sums[a]) * down[a] + _mixed(shape)).view(np.int64)
+    stretches = []
+    for left, right in STRETCHES:
+        x, y = np.maximum(at - left, 0), np.minimum(at + SEED + right, n)
+        h = (_mixed((sums[y] - sums[x]) * down[x]) >> np.uint64(32)).astype(np.uint32)
+        stretches.append(np.where((at >= left) & (at + SEED + right <= n), np.maximum(h, 1), 0).astype(np.uint32))
+    return at, seeds[at].view(np.int64), _mixed((sums[b] - sums[a]) * down[a] + _mixed(shape)).view(np.int64), stretches
 
 
 def _deal(fragments: int):
@@ -100,9 +108,11 @@ def _deal(fragments: int):
             for key, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
                 if text is None or len(text) < WIDTH:
                     continue
-                at, seeds, contexts = anchors(text, powers)
+                at, seeds, contexts, stretches = anchors(text, powers)
                 rows = np.empty(len(at), _ANCHOR)
                 rows["seed"], rows["context"], rows["key"], rows["at"], rows["right"] = seeds, contexts, key, at, np.minimum(len(text) - at, WIDTH)
+                for i, h in enumerate(stretches):
+                    rows["stretches"][:, i] = h
                 parts.append(rows)
             if not parts:
                 continue
@@ -116,7 +126,7 @@ def _deal(fragments: int):
     return run
 
 
-_ANCHOR = np.dtype([("seed", "<i8"), ("context", "<i8"), ("key", "<i8"), ("at", "<i4"), ("right", "<i2")])
+_ANCHOR = np.dtype([("seed", "<i8"), ("context", "<i8"), ("key", "<i8"), ("at", "<i4"), ("right", "<i2"), ("stretches", "<u4", (4,))])
 
 
 def _grouped(key: np.ndarray, *values: np.ndarray):
@@ -142,7 +152,16 @@ def _name(batches):
     per_context = np.bincount(context)
     contexts = np.bincount(seed[new_context])  # different contexts of each seed
     sure = per_context[context] > 1
-    sort = new_context & (contexts[seed] > 1)
+    sort = np.flatnonzero(new_context & (contexts[seed] > 1))
+    # Of these, only contexts that share one of their stretches with another can share a window.
+    able = np.zeros(len(sort), bool)
+    for i in range(4):
+        h = rows["stretches"][sort, i]
+        _, where, count = np.unique(rows["seed"][sort].view(np.uint64) * np.uint64(_STEP) + h, return_inverse=True, return_counts=True)
+        able |= (count[where] > 1) & (h > 0)
+    chosen = np.zeros(len(rows), bool)
+    chosen[sort[able]] = True
+    sort = chosen
     empty = pa.nulls
     for kind, pick in ((1, sure), (2, sort)):
         if not pick.any():
