@@ -88,7 +88,9 @@ def test_ngram_join_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == components_of(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (200, 100)]
     got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got >= {(i, 0) for i in range(1, 41)} | {(101, 100), (200, 100)}
@@ -96,11 +98,11 @@ def test_components(spark):
 
 def test_line_dedup(spark, none):
     block = "a\nb\nc\nd"
-    rows = [(1, block), (2, f"x\n{block}\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (1, block)]
+    rows = [(1, block), (2, f"x\n{block}\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (7, block), (1, block)]
     df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, gone string")
     got = [(r.doc_id, r.text) for r in lines.deduped(df).collect()]
-    assert sorted(got, key=str) == sorted([(1, block), (1, block), (2, "x\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q")], key=str)
-    assert {r.doc_id for r in lines.deduped(df, drop_emptied=True).collect()} == {1, 2, 3, 4, 5}
+    assert sorted(got, key=str) == sorted([(1, block), (1, block), (2, "x\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q"), (7, "")], key=str)
+    assert {r.doc_id for r in lines.deduped(df, drop_emptied=True).collect()} == {1, 2, 3, 4, 5, 6}
     assert lines.deduped(none).count() == 0 and lines.report(none).count() == 0
 
 
