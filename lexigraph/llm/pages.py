@@ -6,9 +6,9 @@
    order-free fingerprint, the exclusive-or of a hash of (page, count), with its support; so a host of any size is
    aggregated map-side and no host meets in one task. Tokens of equal vectors and support are one equivalence class. A
    class is valid if at least SUPPORT pages have it and its tokens are ordered and nested, which paths show by themselves.
-3. Template. The class of the page's body is the template's root; classes whose paths lie inside one of its tokens are
-   nested in that slot. Of the root class's containers, the deepest that holds SHARE of the host's text outside of what
-   roles rule out (menus, headers, footers, sidebars, notices, adverts, forms, comments) is the slot of the main text.
+3. Template. The class of the page itself (path '') is the template's root. Of the root class's containers, the deepest
+   that holds all of the host's text outside of what roles rule out (menus, headers, footers, sidebars, notices, adverts,
+   forms, comments) is the slot of the main text, so that no text is lost for standing beside a larger part.
 4. Extraction. Each page gives the blocks of its host's slot; a page whose host has no valid template, or that lacks
    the slot, is read by the same rule over itself alone.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SUPPORT, SHARE = 3, 0.6
+SUPPORT = 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math canvas object video audio xmp noembed noframes".split())
@@ -155,6 +155,10 @@ def tokens(found: list) -> dict[str, list[int]]:
     seen: dict[str, list[int]] = {}
     counted: set[int] = set()
     for path, out, link, text in found:
+        page = seen.setdefault("", [1, 0, 0])
+        if not out:
+            page[1] += len(text)
+            page[2] += link
         for i, (_, _, number) in enumerate(path):
             name = _name(path[: i + 1])
             row = seen.setdefault(name, [0, 0, 0])
@@ -172,12 +176,13 @@ def main_slot(rows: list[tuple[str, int, int, int, int, int]]) -> str:
     classes: dict[tuple[int, int], list] = defaultdict(list)
     for row in rows:
         classes[row[1], row[2]].append(row)
-    body = next((r for r in rows if r[0] in ("html>body", "body")), None)
-    if body is None or body[1] < SUPPORT or body[4] <= 0:
+    page = next((r for r in rows if r[0] == ""), None)
+    if page is None or page[1] < SUPPORT or page[4] <= 0:
         return ""
-    root = classes[body[1], body[2]]
-    held = [r for r in root if r[3] == 1 and r[0].rsplit(">", 1)[-1].split(".")[0] in _CONTAINERS and r[4] >= SHARE * body[4] and 2 * r[5] <= r[4]]
-    best = max(held, key=lambda r: (any(r[0].rsplit(">", 1)[-1].split(".")[0] == t for t in ("article", "main")), r[0].count(">")), default=None)
+    root = classes[page[1], page[2]]
+    # No page's part exceeds the page's text, so equal sums say that every page's text is all inside.
+    held = [r for r in root if r[3] == 1 and r[0].rsplit(">", 1)[-1].split(".")[0] in _CONTAINERS and r[4] == page[4]]
+    best = max(held, key=lambda r: r[0].count(">"), default=None)
     return best[0] if best else ""
 
 
@@ -194,19 +199,13 @@ def _alone(found: list) -> int:
     """The number of the main text's element by this page alone, or 0 for the whole page."""
     sizes: dict[int, list] = {}
     total = 0
-    for path, out, link, text in found:
+    for path, out, _, text in found:
         if out:
             continue
         total += len(text)
         for depth, (tag, _, number) in enumerate(path):
-            row = sizes.setdefault(number, [0, 0, tag, depth])
-            row[0] += len(text)
-            row[1] += link
-    for wanted in (("article",), ("main",)):
-        held = [(r[0], -n) for n, r in sizes.items() if r[2] in wanted]
-        if held and max(held)[0] >= SHARE * total:
-            return -max(held)[1]
-    held = [(r[3], n) for n, r in sizes.items() if r[2] in _CONTAINERS and r[0] >= SHARE * total and 2 * r[1] <= r[0]]
+            sizes.setdefault(number, [0, tag, depth])[0] += len(text)
+    held = [(r[2], n) for n, r in sizes.items() if r[1] in _CONTAINERS and r[0] == total]
     return max(held)[1] if held else 0
 
 

@@ -241,6 +241,16 @@ def test_pages(spark):
     assert pages.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_text_beside_a_larger_part(spark):
+    parts = '<html><body><div id=c><div class=intro><p>{0} intro</p></div><div class=rest><p>{0} {1}</p></div></div></body></html>'
+    two = "<html><body><article><p>short</p></article><article><p>a much longer second one</p></article></body></html>"
+    late = "<html><body><div class=rest><p>{} long enough</p></div></body>\ntail</html>"
+    rows = [(i, "http://h.example", parts.format(i, "rest " * 9)) for i in range(4)] + [(8, "http://two.example", two)] + [(10 + i, "http://late.example", late.format(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{i} intro\n\n{i} " + " ".join(["rest"] * 9) for i in range(4))
+    assert got[8] == "short\n\na much longer second one" and all(got[10 + i] == f"{i} long enough\n\ntail" for i in range(3))
+
+
 def test_media(docs, none, spark):
     got = {r.doc_id: r for r in media.described(docs).collect()}
     for d, t, *_ in ROWS:
