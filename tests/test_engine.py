@@ -81,6 +81,24 @@ def test_semantic(snippets):
     assert V.bands_of([0.5, 0.0, 1.0]) == [65535] * 4 and V.bands_of([]) is None
 
 
+def test_semantic_batch_of_a_table(spark, snippets):
+    asked = spark.createDataFrame([(q, [float(q % 7), 1.0, float(q % 3)]) for q in range(300)] + [(300, [0.0, 0.0, 0.0]), (301, None), (302, [1.0, 0.0])], "query_id long, embedding array<float>")
+    got = {}
+    for r in semantic.batch(snippets, asked, 3).collect():
+        got.setdefault(r.query_id, []).append((r.place, r.id, round(r.score, 9)))
+    assert sorted(got) == list(range(300))
+    for q in (0, 1, 8, 299):
+        want = semantic.scores(snippets, [float(q % 7), 1.0, float(q % 3)], limit=3, mode="exact").collect()
+        assert sorted(got[q]) == [(i + 1, r.id, round(r.score, 9)) for i, r in enumerate(want)]
+
+
+def test_semantic_batch_queries_grow_with_the_table(spark):
+    from lexigraph import queries
+
+    got = queries.QUERIES["semantic_batch_all"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.query_id for r in got} == {0, 100, 200, 300, 400} and len(got) == 25
+
+
 def test_hybrid(snippets):
     found = hybrid.search(snippets, "hook", [1.0, 0.0, 0.0], **REACT).collect()
     assert found[0].id == 1 and len({r.id for r in found}) == len(found) and all(0 <= r.score <= 1 for r in found)
