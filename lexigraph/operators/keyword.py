@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans import match
@@ -118,6 +119,12 @@ def _score(tree, at: list[int], one) -> Column:
     return F.when(ok, functools.reduce(lambda a, b: a + b, [one(here + i) for i in range(n)])).otherwise(0.0)
 
 
+def _bm25(j: int) -> Column:
+    d, f = F.col("df")[j], F.col("tf")[j].cast("double")
+    idf = F.log((F.col("n_docs") - d + 0.5) / (d + 0.5))
+    return F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
+
+
 def ranked(rows: DataFrame, stats: DataFrame, query: str, profile: str = "plain") -> DataFrame:
     """snippet_id, rank of every document that matches. rows: postings; stats: doc_stats."""
     tree = match.parse(query, match.porter_tokens if profile == "porter" else None)
@@ -127,12 +134,7 @@ def ranked(rows: DataFrame, stats: DataFrame, query: str, profile: str = "plain"
     corpus = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
     full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
 
-    def one(j: int) -> Column:
-        d, f = F.col("df")[j], F.col("tf")[j].cast("double")
-        idf = F.log((F.col("n_docs") - d + 0.5) / (d + 0.5))
-        return F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
-
-    return full.where(_matches(tree, [0])).select("snippet_id", (-_score(tree, [0], one)).alias("rank"))
+    return full.where(_matches(tree, [0])).select("snippet_id", (-_score(tree, [0], _bm25)).alias("rank"))
 
 
 def search(snippets: DataFrame, query: str, library_id: str | None = None, version: str | None = None, limit: int = 20, profile: str = "plain", index_path: str | None = None, sanitize: bool = False) -> DataFrame:
@@ -152,3 +154,39 @@ def search(snippets: DataFrame, query: str, library_id: str | None = None, versi
     top = own.select("id").join(found, F.col("id") == F.col("_id")).select("id", "rank").orderBy("rank", "id").limit(limit)
     # Wide columns join after the cut to `limit` rows, so the row side is bounded.
     return own.join(F.broadcast(top), "id").orderBy("rank", "id")
+
+
+def ranked_batch(rows: DataFrame, stats: DataFrame, queries: dict[int, str], profile: str = "plain") -> DataFrame:
+    """query_id, snippet_id, rank of every match of each query; one pass over the postings for all."""
+    trees = {q: match.parse(text, match.porter_tokens if profile == "porter" else None) for q, text in queries.items()}
+    if not trees:
+        return stats.where("false").select(F.lit(0).cast("long").alias("query_id"), "snippet_id", F.lit(0.0).alias("rank"))
+    # One tree holds the leaves of all queries in their order; each query's expressions start at its first leaf.
+    tf, phrases = frequencies(rows, functools.reduce(lambda a, b: match.Op("OR", a, b), trees.values()))
+    df = tf.agg(F.array(*[F.count_if(F.col("all")[j] > 0) for j in range(len(phrases))]).alias("df"))
+    corpus = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
+    full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
+    found, at = [], 0
+    for q, tree in trees.items():
+        found.append(F.when(_matches(tree, [at]), F.struct(F.lit(q).cast("long").alias("query_id"), (-_score(tree, [at], _bm25)).alias("rank"))))
+        at += len(_flat(tree))
+    each = full.select("snippet_id", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return each.select("x.query_id", "snippet_id", "x.rank")
+
+
+def batch(snippets: DataFrame, queries: dict[int, str], library_id: str | None = None, version: str | None = None, limit: int = 20, profile: str = "plain", index_path: str | None = None, sanitize: bool = False) -> DataFrame:
+    """query_id, id, rank, place of the best snippets for each query."""
+    if sanitize:
+        queries = {q: match.sanitized(text) for q, text in queries.items()}
+    if index_path:
+        rows, stats = (snippets.sparkSession.read.parquet(f"{index_path}/{t}") for t in ("postings", "doc_stats"))
+    else:
+        rows, stats = index.postings(snippets, profile), index.doc_stats(snippets)
+    own = snippets
+    if library_id is not None:
+        own = own.where(F.col("library_id") == library_id)
+    if version is not None:
+        own = own.where(F.col("library_version") == version)
+    found = own.select("id").join(ranked_batch(rows, stats, queries, profile).withColumnRenamed("snippet_id", "id"), "id")
+    placed = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id")))
+    return placed.where(F.col("place") <= limit).select("query_id", "id", "rank", "place")

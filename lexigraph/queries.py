@@ -326,6 +326,12 @@ def hybrid_keyword_only(spark, path):
     return _hybrid(spark, path, None)
 
 
+@query(" union all ".join(f"select cast({i} as bigint) as query_id, * from ({_hybrid_sql(q, vector)})" for i, (q, vector) in enumerate([(_NQ, True), (_Q, True), (_Q, False)])))
+def hybrid_batch(spark, path):
+    asked = {0: (f"{A} {B}", _vector(spark, path, -1)), 1: (f"{A} {B}", _vector(spark, path)), 2: (f"{A} {B}", None)}
+    return hybrid.batch(corpus.snippets(spark, path), asked).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 @query(f"with {S}, {_NQ}, {_SCORED} select id, round(0.7 * greatest(0, least(1, (score + 1) / 2)), 6) as score from c order by c.score desc, id limit 20")
 def hybrid_vector_only(spark, path):
     return hybrid.fused(corpus.snippets(spark, path), "nosuchword", _vector(spark, path, -1)).select("id", F.round("score", 6).alias("score"))

@@ -106,6 +106,23 @@ def test_hybrid(snippets):
     assert set(ids(hybrid.search(snippets, "hook", None, **REACT))) == {1, 2}
 
 
+def test_batches_give_what_single_queries_give(snippets):
+    texts = {3: "hook OR components", 4: "NEAR(perform effects, 3) OR syntax", 5: "components NOT hook", 6: "nothing"}
+    for options in ({}, REACT):
+        got = {}
+        for r in keyword.batch(snippets, texts, limit=2, **options).collect():
+            got.setdefault(r.query_id, []).append((r.place, r.id, round(r["rank"], 9)))
+        for q, text in texts.items():
+            assert sorted(got.get(q, [])) == [(i + 1, r.id, round(r["rank"], 9)) for i, r in enumerate(keyword.search(snippets, text, limit=2, **options).collect())]
+    asked = {1: ("hook", [1.0, 0.0, 0.0]), 2: ("nothing", [0.0, 0.0, 1.0]), 3: ("hook OR components", None), 4: ("JSX", [0.0, 0.0, 0.0])}
+    for mode in ("lsh", "exact"):
+        got = {}
+        for r in hybrid.batch(snippets, asked, limit=3, mode=mode, **REACT).collect():
+            got.setdefault(r.query_id, []).append((r.place, r.id, round(r.score, 9)))
+        for q, (text, vector) in asked.items():
+            assert sorted(got.get(q, [])) == [(i + 1, r.id, round(r.score, 9)) for i, r in enumerate(hybrid.fused(snippets, text, vector, limit=3, mode=mode, **REACT).collect())]
+
+
 def test_dispatch(snippets, libraries):
     text = dispatch.query_docs(snippets, libraries, "useState", "/facebook/react", mode="keyword")
     assert text.startswith("## useState Hook\n**Breadcrumb:** Hooks > State\n**Source:** docs/hooks.md\nThe useState")
