@@ -1,11 +1,11 @@
-"""HTML extraction by equivalence-class template deduction.
+"""HTML extraction by a list of roles and one main-text slot a host; the README says what of template deduction is missing.
 
 1. Tokens. A page is read into elements; a token is an element's place in the page's structure: the path of tag and class
    names from the root (digits left out). Words are no tokens here: they are what the pages of a host differ in.
 2. Classes. Over the pages of a host, a token's occurrence vector (how often it stands in each page) is kept as an
    order-free fingerprint, the exclusive-or of a hash of (page, count), with its support; so a host of any size is
-   aggregated map-side and no host meets in one task. Tokens of equal vectors and support are one equivalence class. A
-   class is valid if at least SUPPORT pages have it and its tokens are ordered and nested, which paths show by themselves.
+   aggregated map-side and no host meets in one task. Tokens of equal vectors and support are one equivalence class. Only
+   the root's class, if at least SUPPORT pages have it, is read; repeated tokens and other classes aren't.
 3. Template. The class of the page itself (path '') is the template's root. Of the root class's containers, the deepest
    that holds all of the host's text outside of what roles rule out (menus, headers, footers, sidebars, notices, adverts,
    forms, comments) is the slot of the main text, so that no text is lost for standing beside a larger part.
