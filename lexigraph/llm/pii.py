@@ -3,9 +3,8 @@
 The patterns' spans stay as they are. The model, trained here in numpy from labelled spans (personal data of many shapes
 set into texts of the corpus, beside numbers that are none), tags characters outside / begin / inside. It reads windows of
 WINDOW characters that overlap by half; each character takes its tag scores from the window in whose middle it lies most,
-so a text's windows are reconciled before one Viterbi pass decodes each joined stretch globally. A span that the model
-adds must hold a digit or an at sign, by definition: stretches of text without either within REACH characters can hold
-none and aren't run. Spans that touch a pattern's span are dropped; the others are of kind "other".
+so a text's windows are reconciled before one Viterbi pass decodes each whole text globally. The windows slide over all of
+every text. Spans that touch a pattern's span are dropped; the others are of kind "other".
 
 Training is seeded, on at most TEXTS texts (least hash of the id; a bounded sample for a model), so reruns agree.
 
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, STEP, REACH = 96, 48, 40
+WINDOW, STEP = 96, 48
+BLOCK = 128  # characters that Viterbi takes at once, for each tag before them
 TEXTS, HIDDEN, EPOCHS = 300, 8, 6
 TAGS = 3  # outside, begin, inside
 
@@ -37,6 +37,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _CUE = re.compile(r"[0-9@]")
+_SAID = "zero one two three four five six seven eight nine".split()
+_STREETS = "Street Avenue Road Lane Drive Square Boulevard".split()
 
 
 def _luhn(digits: str) -> bool:
@@ -225,7 +227,8 @@ def _made(rng: np.random.Generator) -> tuple[str, bool]:
     """A stretch of text, and whether it is personal data."""
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     word = lambda n: "".join(chr(97 + i) for i in rng.integers(0, 26, n))
-    pick = int(rng.integers(0, 18))
+    some = lambda xs: xs[int(rng.integers(0, len(xs)))]
+    pick = int(rng.integers(0, 24))
     n = int(rng.integers(3, 9))
     return [
         (f"{word(n)}.{d(2)}@{word(4)}{d(1)}.example.com", True),
@@ -246,6 +249,12 @@ def _made(rng: np.random.Generator) -> tuple[str, bool]:
         (f"{rng.integers(1, 9)}.{rng.integers(0, 9)}.", False),
         (f"{rng.integers(1, 99)}.", False),
         (f"License, Version {rng.integers(1, 9)}.0.", False),
+        (f"{word(n)} (at) {word(5)} dot com", True),
+        (" ".join(some(_SAID) for _ in range(int(rng.integers(7, 12)))), True),
+        (f"{word(n).capitalize()} {some(_STREETS)}, {word(n + 1).capitalize()}", True),
+        (" ".join(word(int(rng.integers(2, 8))) for _ in range(n)), False),
+        (" ".join(word(int(rng.integers(2, 8))) for _ in range(n)).capitalize() + ".", False),
+        (word(n).upper(), False),
     ][pick]
 
 
@@ -256,6 +265,11 @@ def examples(backgrounds: list[str], count: int = 1500, seed: int = 9) -> tuple[
     plain = [t for b in backgrounds if (t := _CUE.sub("", b)).strip()] or ["the of and to in"]
     for i in range(count):
         text, tags = "", []
+        if i % 2:  # most of a corpus is prose without personal data
+            b = plain[int(rng.integers(0, len(plain)))]
+            at = int(rng.integers(0, max(1, len(b) - WINDOW)))
+            text = b[at : at + WINDOW]
+            tags = [0] * len(text)
         while len(text) < WINDOW:
             b = plain[int(rng.integers(0, len(plain)))]
             at = int(rng.integers(0, max(1, len(b) - 60)))
@@ -282,95 +296,110 @@ def train(docs: DataFrame) -> Tagger:
     return model
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where a span could be: within REACH of a digit or an at sign, joined where they meet."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-_WEIGHT = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW))  # how far inside its window a character lies
-
-
 def added(model: Tagger, texts: list[str]) -> list[list[tuple[int, int]]]:
     """The model's spans in each text."""
-    windows, places, spans = [], [], []
-    for t, text in enumerate(texts):
-        codes = None
-        for a, b in stretches(text):
-            codes = symbols(text) if codes is None else codes
-            spans.append((t, a, b))
-            at = a
-            while True:
-                w = np.zeros(WINDOW, np.uint8)
-                n = min(WINDOW, b - at)
-                w[:n] = codes[at : at + n]
-                windows.append(w)
-                places.append((len(spans) - 1, at - a, n))
-                if at + n >= b:
-                    break
-                at += STEP
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    if not windows:
-        return out
-    scores = np.concatenate([model.scores(np.stack(windows[i : i + 4096])) for i in range(0, len(windows), 4096)])
-    joined = [np.zeros((b - a, TAGS), np.float32) for _, a, b in spans]
-    weight = [np.zeros(b - a, np.int64) for _, a, b in spans]
-    for (s, at, n), e in zip(places, scores, strict=True):
-        better = _WEIGHT[:n] > weight[s][at : at + n]
-        joined[s][at : at + n][better] = e[:n][better]
-        weight[s][at : at + n][better] = _WEIGHT[:n][better]
-    for (t, a, b), tags in zip(spans, _decode(model, joined), strict=True):
-        on = tags > 0
-        if not on.any():
-            continue
-        begins = on & ((tags == 1) | np.concatenate([[True], ~on[:-1]]))
-        for i in np.flatnonzero(begins).tolist():
-            j = i + 1
-            while j < len(tags) and tags[j] == 2:
-                j += 1
-            piece = texts[t][a + i : a + j]
-            left, right = len(piece) - len(piece.lstrip()), len(piece.rstrip())
-            if right > left and _CUE.search(piece):
-                out[t].append((a + i + left, a + right + i))
+    group: list[int] = []
+    room = 0
+    for t, text in enumerate(texts):
+        if text:
+            group.append(t)
+            room += len(text) + WINDOW
+        if group and (room >= 1 << 20 or t == len(texts) - 1):  # a bound on what stands in memory
+            for i, tags in zip(group, _tags(model, [symbols(texts[i]) for i in group]), strict=True):
+                out[i] = _spans_of(texts[i], tags)
+            group, room = [], 0
     return out
 
 
-def _decode(model: Tagger, all_scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Viterbi over many stretches at once, longest first so that the batch shrinks with time."""
-    order = sorted(range(len(all_scores)), key=lambda i: -len(all_scores[i]))
-    out: list = [None] * len(all_scores)
-    for at in range(0, len(order), 2048):
-        group = order[at : at + 2048]
-        sizes = np.array([len(all_scores[i]) for i in group])
-        n = int(sizes.max())
-        e = np.zeros((n, len(group), TAGS), np.float32)
-        for k, i in enumerate(group):
-            e[: sizes[k], k] = all_scores[i]
-        back = np.zeros((n, len(group), TAGS), np.int8)
-        best = e[0] + model.w["s"]
-        live = [int((sizes > t).sum()) for t in range(n)]
-        for t in range(1, n):
-            k = live[t]
-            step = best[:k, :, None] + model.w["t"]
-            back[t, :k] = step.argmax(axis=1)
-            best[:k] = step.max(axis=1) + e[t, :k]
-        tags = np.zeros((n, len(group)), np.int8)
-        for k in range(len(group)):
-            tags[sizes[k] - 1, k] = best[k].argmax()
-        for t in range(n - 1, 0, -1):
-            k = live[t]
-            tags[t - 1, :k] = back[t, np.arange(k), tags[t, :k]]
-        for k, i in enumerate(group):
-            out[i] = tags[: sizes[k], k]
+def _tags(model: Tagger, codes: list[np.ndarray]) -> list[np.ndarray]:
+    counts = [1 + max(0, -(-(len(c) - WINDOW) // STEP)) for c in codes]
+    windows = np.zeros((sum(counts), WINDOW), np.uint8)
+    at = 0
+    for c, k in zip(codes, counts, strict=True):
+        padded = np.zeros((k - 1) * STEP + WINDOW, np.uint8)
+        padded[: len(c)] = c
+        windows[at : at + k] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
+        at += k
+    scores = np.concatenate([model.scores(windows[i : i + 2048]) for i in range(0, len(windows), 2048)])
+    joined, at, edge = [], 0, STEP // 2
+    for c, k in zip(codes, counts, strict=True):
+        # Of two windows that overlap by half, the character is deeper in the first up to a quarter from that one's end.
+        e = scores[at : at + k]
+        joined.append(np.concatenate([e[0, :edge], e[:, edge : edge + STEP].reshape(-1, TAGS), e[-1, edge + STEP :]])[: len(c)])
+        at += k
+    return _decode(model, joined)
+
+
+def _spans_of(text: str, tags: np.ndarray) -> list[tuple[int, int]]:
+    on = tags > 0
+    out = []
+    for i in np.flatnonzero(on & ((tags == 1) | np.concatenate([[True], ~on[:-1]]))).tolist():
+        j = i + 1
+        while j < len(tags) and tags[j] == 2:
+            j += 1
+        piece = text[i:j]
+        left, right = len(piece) - len(piece.lstrip()), len(piece.rstrip())
+        if right > left:
+            out.append((i + left, i + right))
     return out
 
 
+def _decode(model: Tagger, all_scores: list[np.ndarray]) -> list[np.ndarray]:
+    """Viterbi of every text at once, exactly: blocks keep their best path for each tag before and each tag at their end, the
+    blocks of a text are then joined, so that time goes by characters and not by the longest text."""
+    counts = np.array([-(-len(e) // BLOCK) for e in all_scores])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    size = np.full(int(first[-1]), BLOCK)
+    size[first[1:] - 1] = [len(e) - (c - 1) * BLOCK for e, c in zip(all_scores, counts, strict=True)]
+    e = np.zeros((len(size), BLOCK, TAGS), np.float32)
+    for i, own in enumerate(all_scores):
+        e[first[i] : first[i + 1]].reshape(-1, TAGS)[: len(own)] = own
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(BLOCK))  # blocks longer than t stand first
+    e = np.ascontiguousarray(e[order].transpose(1, 0, 2))
+    trans, start = model.w["t"], model.w["s"]
+    enter = np.repeat(trans[None], len(size), axis=0)
+    enter[np.argsort(order)[first[:-1]]] = start
+    best = enter + e[0][:, None, :]  # block x tag before x tag now
+    back = np.zeros((BLOCK, len(size), TAGS, TAGS), np.int8)
+    for t in range(1, BLOCK):
+        k = int(live[t])
+        if not k:
+            break
+        top, came = best[:k, :, 0, None] + trans[0], np.zeros((k, TAGS, TAGS), np.int8)
+        for j in range(1, TAGS):
+            other = best[:k, :, j, None] + trans[j]
+            better = other > top
+            came[better] = j
+            top = np.where(better, other, top)
+        back[t, :k] = came
+        best[:k] = top + e[t, :k, None, :]
+    spot = np.argsort(order)
+    before = np.zeros(len(size), np.int64)
+    last = np.zeros(len(size), np.int64)
+    for i in range(len(all_scores)):
+        value, came = np.zeros(TAGS), []
+        for b in range(first[i], first[i + 1]):
+            step = value[:, None] + best[spot[b]].astype(np.float64)
+            came.append(step.argmax(axis=0))
+            value = step.max(axis=0)
+        tag = int(value.argmax())
+        for b in range(first[i + 1] - 1, first[i] - 1, -1):
+            last[spot[b]] = tag
+            tag = int(came[b - first[i]][tag])
+            before[spot[b]] = tag
+    tags = np.zeros((len(size), BLOCK), np.int8)
+    now, rows = last.copy(), np.arange(len(size))
+    for t in range(BLOCK - 1, -1, -1):
+        k = int(live[t])
+        tags[:k, t] = now[:k]
+        if t:
+            now[:k] = back[t, rows[:k], before[:k], now[:k]]
+    tags = tags[spot].reshape(-1)
+    return [tags[first[i] * BLOCK : first[i] * BLOCK + len(x)] for i, x in enumerate(all_scores)]
+
+
 def spans(model: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """All spans of each text: the patterns' by kind as listed, then the model's of kind "other", each by start."""
     out = []

@@ -318,6 +318,19 @@ def test_pii_model(docs, none):
     assert rows.count() == len(ROWS) and pii.detected(none, trained).count() == 0
 
 
+def test_pii_model_reads_text_without_digits(docs):
+    model = pii.Tagger()
+    rng = np.random.default_rng(5)
+    scores = [rng.standard_normal((n, 3)).astype(np.float32) * 3 for n in (1, 2, 127, 128, 129, 700)]
+    model.w["t"] = rng.standard_normal((3, 3)).astype(np.float32)
+    assert all(np.array_equal(a, model.viterbi(e)) for a, e in zip(pii._decode(model, scores), scores, strict=True))
+    trained = pii.train(docs)
+    said = "abc fed cab " * 30 + "jane (at) example dot com " + "abc fed cab " * 30
+    begin = said.index("jane")
+    found = pii.spans(trained, [said])[0]
+    assert any(k == "other" and a < begin + 25 and b > begin for k, a, b in found)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
