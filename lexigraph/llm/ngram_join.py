@@ -435,7 +435,11 @@ def clusters(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the least doc_id. Rows without words stay."""
-    chosen = clusters(docs).where("doc_id = component_id or n_shingles = 0 or doc_id is null").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.alias("d").join(chosen, F.col("d.doc_id").eqNullSafe(F.col("_id"))).select("d.*")
-
+    """docs with one row of each component: of the least doc_id (nulls last; of rows that share it, one). Rows without words stay."""
+    # Ids may repeat or be null, so rows are told apart by a number of their own; stored, for it must not change between reads.
+    numbered = common.stored(docs.withColumn("_lx_row", F.monotonically_increasing_id()), "ngram-rows")
+    found = clusters(numbered.select(F.col("_lx_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
+    own = found.join(numbered.select("_lx_row", "doc_id", F.xxhash64("text").alias("t")), F.col("_row") == F.col("_lx_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t", "_row"))["_row"]
+    chosen = own.where("n_shingles > 0").groupBy("component_id").agg(first.alias("_row")).select("_row").unionByName(own.where("n_shingles = 0").select("_row"))
+    return numbered.join(chosen, F.col("_lx_row") == F.col("_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

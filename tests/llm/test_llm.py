@@ -96,6 +96,13 @@ def test_components(spark, monkeypatch, small):
     assert got >= {(i, 0) for i in range(1, 41)} | {(101, 100), (200, 100)}
 
 
+def test_one_of_each_picks_rows(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(5, a, "x"), (5, a, "y"), (7, a + " z", "x"), (None, a, "x"), (5, b, "x"), (None, c, "x"), (None, c, "y"), (9, "", "x"), (9, "", "x"), (None, None, "x")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in got) == sorted([("5", a), ("5", b), ("None", c), ("9", ""), ("9", ""), ("None", "")])
+
+
 def test_line_dedup(spark, none):
     block = "a\nb\nc\nd"
     rows = [(1, block), (2, f"x\n{block}\ny"), (3, "a\nb"), (4, None), (5, ""), (6, "q\nq\nq\nq\nq"), (7, block), (1, block)]
