@@ -424,7 +424,7 @@ def rst_inline_cleanup(spark, path):
 
 def _headed(spark: SparkSession, path: str, head, ext: str) -> DataFrame:
     docs = spark.read.parquet(f"{path}/documents.parquet")
-    text = F.concat(head, F.regexp_replace(F.regexp_replace("text", r"[*_`<>|#~\[\]\\&=+^:.-]", ""), "\n", "\n\n"))
+    text = F.concat(head, F.col("text"))
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), "doc_id", text.alias("text"))
 
 

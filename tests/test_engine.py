@@ -186,6 +186,28 @@ def test_rst():
     assert parsing.rst("====\nTop\n====\n", fix_overlines=True)[0] == {"heading": "Top", "depth": 1, "content": "", "code_blocks": []}
 
 
+def test_parser_queries_read_markup(spark, tmp_path):
+    import random
+
+    from lexigraph import queries
+
+    # Texts put together from pieces of which it is known what they say: (text, a new section, what its paragraph says).
+    kinds = {
+        "parse_markdown_sections": [("## Sub", True, ""), ("plain words", False, "plain words"), ("a *b* [c](d)", False, "a b c"), ("```py\n# no heading\n```", False, ""), ("- item\n- item", False, ""), ("| a | b |\n|---|---|\n| 1 | 2 |", False, "")],
+        "parse_rst_sections": [("Sub\n-----", True, ""), ("plain words", False, "plain words"), (".. note::\n\n   said here", False, "said here"), (".. code-block:: py\n\n   x = 1", False, "")],
+    }
+    for name, pieces in kinds.items():
+        rng, rows, want = random.Random(2), [], {}
+        for i in range(30):
+            chosen = rng.choices(pieces, k=rng.randint(0, 7))
+            rows.append((i, "\n\n".join(x for x, *_ in chosen)))
+            first = next((k for k, x in enumerate(chosen) if x[1]), len(chosen))
+            want[i] = (1 + sum(x[1] for x in chosen), f"Title {i}", len("\n\n".join(x[2] for x in chosen[:first] if x[2])))
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = queries.QUERIES[name](spark, str(tmp_path / name)).collect()
+        assert {r.doc_id: (r.n_sections, r.heading, r.size) for r in got} == want
+
+
 def test_text_functions(spark):
     urls = ["https://github.com/org/repo", "https://github.com/org/repo.git", "https://github.com/org/repo/", "git@github.com:org/repo.git"]
     assert {r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(T.library_id(F.col("u"))).collect()} == {"/org/repo"}
