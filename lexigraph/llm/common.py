@@ -20,9 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """How many ways the session deals a shuffle; a cluster sets it with the size of its input."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of a table's files that one task takes, at most; the session's number of shuffle partitions is the least count.
+SHARE = 64 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """How many ways to deal what comes of df: by the session's setting, and more if the size of df asks for it."""
+    size = 0
+    if df is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # A plan that doesn't know its size says that it is huge.
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARE) if size < 1 << 58 else 0)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with so many lines before it that it clashes with none of columns, in any case of letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,93 +1,95 @@
 """Suffix and common-prefix arrays by external induced sorting.
 
-The text is a row of symbols whose members (strings) end with separators of their own. Leftmost-S suffixes are sorted by
-recursion on their names (pairs of names become the next level's symbols); then two passes induce all others from them: ascending for L-type, descending for S-type
-suffixes. A pass drains one bucket of a priority queue after another. The queue's order is (first symbol, time of entry),
-so it is a queue per symbol; entries are suffix tuples (position, common prefix with the entry before), moved in batches by
-numpy. Queues above a memory budget go to disk in blocks and come back in order when their bucket's turn comes. The
-common prefix of two induced neighbours is one more than the least value between their sources, found by a range-minimum
-table over each batch and a running minimum per symbol between batches. Values are capped at CAP.
+The text is a row of symbols whose members (strings) end with separators, symbol 0; separators are all different, in order
+of place. Sorting goes by recursive induction. The starts (leftmost-S places and separators) are ordered by one rough
+induction, which sorts the substrings between them; equal substrings get one name; if names repeat, the row of names, at
+most half as long, is sorted by this same procedure, down to a row whose names all differ. From the ordered starts two
+passes over priority queues induce all other suffixes: ascending for L-type, descending for S-type ones.
+
+Queues. A queue entry is a suffix tuple: its place, the symbols before it (as many as fit 63 bits, so that no pass goes
+back to the text but to refill), and at the lowest level the common prefix with the entry before. The order of a queue is
+(first symbol, time of entry): it is kept as one first-in-first-out file a range of symbols, drained range by range. A
+range of one symbol runs in waves, one a repetition; in a range of many, what it induces in itself is ranked by its sources
+until nothing new comes. Entries above a budget of bytes go to disk, as do the texts, names and finished buckets.
+
+Common prefixes. Neighbours among the starts are compared symbol by symbol, eight at a time; that of two induced
+neighbours is one more than the least value between their sources. Values are capped at CAP.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 
 CAP = 250
-#: Bytes of queue entries kept in memory; more goes to disk.
-BUDGET = 256 << 20
+#: Bytes that a queue, or a finished pass, keeps in memory; more goes to disk. Arrays above it are files from the start.
+BUDGET = 32 << 20
+#: Ranges of symbols that a queue of names is cut into, and the least entries of one.
+RANGES, LEAST = 48, 4096
+#: Starts whose substrings are hashed at once, and symbols that are typed at once.
+SLICE = 1 << 19
 
 
-class Queues:
-    """A FIFO queue for each symbol, disk-backed above a budget of bytes."""
+class Spool:
+    """Tuples of arrays by key, in order of entry; above a budget of bytes they go to disk."""
 
-    def __init__(self, symbols: int, budget: int = BUDGET) -> None:
-        self.chunks: list[list] = [[] for _ in range(symbols)]
-        self.held, self.budget, self.file = 0, budget, None
+    spills = 0  # of all spools, for tests
 
-    def push(self, symbol: int, positions: np.ndarray, common: np.ndarray | None) -> None:
-        self.chunks[symbol].append((positions, common))
-        self.held += positions.nbytes + (common.nbytes if common is not None else 0)
+    def __init__(self, budget: int) -> None:
+        self.chunks: dict[int, list] = defaultdict(list)
+        self.held, self.budget, self.file, self.end = 0, budget, None, 0
+
+    def push(self, key: int, *arrays: np.ndarray) -> None:
+        kept = tuple(a.copy() for a in arrays)  # a slice would keep all of its batch alive
+        self.chunks[key].append(kept)
+        self.held += sum(a.nbytes for a in kept)
         if self.held > self.budget:
             self._spill()
 
     def _spill(self) -> None:
+        Spool.spills += 1
         if self.file is None:
-            self.file = tempfile.TemporaryFile(prefix="queues-")
-        for chunks in self.chunks:
-            for i, chunk in enumerate(chunks):
-                if len(chunk) == 2:
-                    at = self.file.seek(0, os.SEEK_END)
-                    positions, common = chunk
-                    self.file.write(positions.tobytes())
-                    if common is not None:
-                        self.file.write(common.tobytes())
-                    chunks[i] = (at, len(positions), common is not None)
+            self.file = tempfile.TemporaryFile(prefix="suffix-queues-")
+        self.file.seek(self.end)
+        for key, chunks in self.chunks.items():
+            at = next((i for i, c in enumerate(chunks) if isinstance(c[0], np.ndarray)), len(chunks))
+            if at < len(chunks):
+                joined = [np.concatenate(x) for x in zip(*chunks[at:], strict=True)]
+                for x in joined:
+                    self.file.write(x)
+                chunks[at:] = [(self.end, [(x.dtype, len(x)) for x in joined])]
+                self.end += sum(x.nbytes for x in joined)
         self.held = 0
 
-    def drain(self, symbol: int) -> tuple[np.ndarray, np.ndarray | None]:
-        out, common = [], []
-        for chunk in self.chunks[symbol]:
-            if len(chunk) == 2:
-                self.held -= chunk[0].nbytes + (chunk[1].nbytes if chunk[1] is not None else 0)
-                p, c = chunk
+    def drain(self, key: int) -> list[np.ndarray]:
+        """The arrays of a key, joined; an empty list if there are none."""
+        parts = []
+        for chunk in self.chunks.pop(key, []):
+            if isinstance(chunk[0], np.ndarray):
+                self.held -= sum(a.nbytes for a in chunk)
             else:
-                at, n, with_common = chunk
-                self.file.seek(at)
-                p = np.frombuffer(self.file.read(4 * n), np.int32)
-                c = np.frombuffer(self.file.read(n), np.uint8) if with_common else None
-            out.append(p)
-            common.append(c)
-        self.chunks[symbol] = []
-        if not out:
-            return np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        return np.concatenate(out), np.concatenate(common) if common[0] is not None else None
+                self.file.seek(chunk[0])
+                chunk = tuple(np.frombuffer(self.file.read(kind.itemsize * n), kind) for kind, n in chunk[1])
+            parts.append(chunk)
+        return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
-def _types(t: np.ndarray) -> np.ndarray:
-    """True for S-type; the last symbol is S."""
-    n = len(t)
-    step = np.sign(t[1:].astype(np.int64) - t[:-1])
-    known = np.concatenate([step, [1]])
-    at = np.where(known != 0, np.arange(n), n)
-    return known[np.minimum.accumulate(at[::-1])[::-1]] > 0
-
-
-def _runs(t: np.ndarray) -> np.ndarray:
-    """How often a position's symbol repeats from there on, capped."""
-    n = len(t)
-    end = np.where(np.concatenate([t[1:] != t[:-1], [True]]), np.arange(1, n + 1), n + 1)
-    return np.minimum(np.minimum.accumulate(end[::-1])[::-1] - np.arange(n), CAP).astype(np.uint8)
+def room(n: int, kind: type, budget: int) -> np.ndarray:
+    """An array, in a file if it is large."""
+    if n * np.dtype(kind).itemsize <= budget:
+        return np.empty(n, kind)
+    with tempfile.TemporaryFile(prefix="suffix-array-") as f:
+        return np.memmap(f, kind, "w+", shape=(n,))
 
 
-class _Range:
+class _Least:
     """Least values of ranges of a batch."""
 
     def __init__(self, values: np.ndarray) -> None:
@@ -96,242 +98,371 @@ class _Range:
             v, k = self.rows[-1], 1 << (len(self.rows) - 1)
             self.rows.append(np.minimum(v[:-k], v[k:]))
 
-    def least(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of values[a..b], ends included, a <= b."""
-        size = b - a + 1
-        level = np.frexp(size.astype(np.float64))[1] - 1
+        level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
         out = np.empty(len(a), np.uint8)
-        for k in np.unique(level):
-            m = level == k
-            row = self.rows[k]
-            out[m] = np.minimum(row[a[m]], row[b[m] - (1 << int(k)) + 1])
+        for k, row in enumerate(self.rows):
+            m = np.flatnonzero(level == k)
+            if len(m):
+                out[m] = np.minimum(row[a[m]], row[b[m] - (1 << k) + 1])
         return out
 
 
-def _induce(t: np.ndarray, s_type: np.ndarray, symbols: int, lms: np.ndarray, seps: int, common: np.ndarray | None, budget: int):
-    """Both passes. t's symbols are 0..symbols-1, of which 0 stands for all separators; lms: sorted, by bucket.
+class _Level:
+    """A text (symbols, of which 0 parts members and ends the text) and what its passes need."""
+
+    def __init__(self, t: np.ndarray, symbols: int, budget: int) -> None:
+        self.t, self.symbols, self.budget = t, symbols, budget
+        self.place = np.int32 if len(t) < 1 << 31 else np.int64
+        self.bits = np.uint64(max(9, symbols.bit_length()))
+        self.mask = np.uint64((1 << int(self.bits)) - 1)
+        self.per = 63 // int(self.bits)
+        if symbols <= 512:
+            self.bounds = np.arange(symbols + 1)
+        else:
+            counts = np.concatenate([np.bincount(t[a : a + SLICE], minlength=symbols)[None] for a in range(0, len(t), SLICE)]).sum(axis=0) if len(t) <= 4 * SLICE else self._counts()
+            up_to = np.cumsum(counts) - counts
+            size = max(LEAST, len(t) // RANGES)
+            self.bounds = np.concatenate([[0], 1 + np.flatnonzero(np.diff(up_to // size)), [symbols]])
+            if self.bounds[1] != 1:
+                self.bounds = np.insert(self.bounds, 1, 1)
+
+    def _counts(self) -> np.ndarray:
+        out = np.zeros(self.symbols, np.int64)
+        for a in range(0, len(self.t), SLICE):
+            out += np.bincount(self.t[a : a + SLICE], minlength=self.symbols)
+        return out
 
-    Returns the suffix array without separators' suffixes, and the common prefixes if those of lms are given.
-    """
-    runs = _runs(t) if common is not None else None
-
-    def one_pass(up: bool, given: list, given_common: list):
-        """given[c]: sorted sources of the other type in bucket c. Returns the induced entries of each bucket."""
-        q = Queues(symbols, budget)
-        since = np.full(symbols, CAP, np.uint8)
-        made, made_common = [None] * symbols, [None] * symbols
-
-        def feed(batch: np.ndarray, lcp: np.ndarray | None, c: int) -> tuple[np.ndarray, np.ndarray | None]:
-            """Pushes what the batch induces; returns what goes to bucket c itself."""
-            p = batch - 1
-            ok = p >= 0
-            ok[ok] = s_type[p[ok]] != up
-            d = np.where(ok, t[p], -1)
-            ok &= d > 0 if up else (d > 0) & (d <= c)
-            if up:
-                ok &= d >= c
-            at = np.flatnonzero(ok)
-            own = np.zeros(0, np.int32), np.zeros(0, np.uint8)
+    def before(self, p: np.ndarray) -> np.ndarray:
+        """The symbols before places p, the nearest lowest, under a mark. At the text's start what follows the last separator read isn't used."""
+        v = np.ones(len(p), np.uint64)
+        for i in range(self.per, 0, -1):
+            at = p - i if len(self.t) >= self.per else np.maximum(p - i, -1)
+            v = (v << self.bits) | self.t[at].astype(np.uint64)
+        return v
+
+    def step(self, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes that begin one symbol earlier."""
+        p, v = p - self.place(1), v >> self.bits
+        empty = np.flatnonzero(v == 1)
+        if len(empty):
+            v[empty] = self.before(p[empty])
+        return p, v
+
+    def run(self, p: int, c: int) -> int:
+        """How often symbol c repeats from place p on, capped."""
+        other = np.flatnonzero(self.t[p : p + CAP] != c)
+        return int(other[0]) if len(other) else CAP
+
+    def starts(self) -> np.ndarray:
+        """Leftmost-S places and separators, in order of place."""
+        t, found, after, after_type = self.t, [], 0, True
+        n = len(t)
+        for b in range(n, 0, -SLICE):
+            a = max(0, b - SLICE)
+            x = t[a:b].astype(np.int64)
+            nxt = np.concatenate([x[1:], [after]])
+            known = np.where(x == 0, 1, np.sign(nxt - x))  # 1: S, -1: L, 0: as its successor
+            if known[-1] == 0:
+                known[-1] = 1 if after_type else -1
+            at = np.where(known != 0, np.arange(b - a), b - a)
+            s = known[np.minimum.accumulate(at[::-1])[::-1]] > 0
+            left = np.concatenate([[True], ~s[:-1]])
+            lead = s & left
+            # The slice's first place is a leftmost one if the symbol before it is larger.
+            lead[0] = s[0] and a > 0 and int(t[a - 1]) > int(x[0])
+            found.append(np.flatnonzero(lead | (x == 0)).astype(self.place) + self.place(a))
+            after, after_type = int(x[0]), bool(s[0])
+        return np.concatenate(found[::-1])
+
+    def one(self, c: int, up: bool, queue: list, given: list, with_common: bool):
+        """A bucket: (places, befores, common) of the type that is made, and of all its sources in order."""
+        none = [np.zeros(0, self.place), np.zeros(0, np.uint64), np.zeros(0, np.uint8)]
+        p, v, lcp = (queue or none)[:2] + ([queue[2].copy() if queue else none[2]] if with_common else [none[2]])
+        if len(lcp):
+            lcp[0] = 0
+        waves, since = [(p, v, lcp)], 0
+        while len(p):
+            at = np.flatnonzero((v & self.mask) == c)
             if not len(at):
-                if lcp is not None and len(lcp):
-                    np.minimum(since, lcp.min(), out=since)
-                return own
-            order = np.argsort(d[at].astype(np.uint16) if symbols < 65536 else d[at], kind="stable")
-            at = at[order]
-            to = d[at]
-            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-            ends = np.concatenate([heads[1:], [len(at)]])
-            c_out = None
-            if lcp is not None:
-                table = _Range(lcp)
+                break
+            own = none[2]
+            if with_common:
+                table = _Least(lcp)
                 lo = np.concatenate([[0], at[:-1] + 1])
-                lo[heads] = 0
-                least = table.least(lo, at)
-                least[heads] = np.minimum(least[heads], since[to[heads]])
-                c_out = np.minimum(least.astype(np.int16) + 1, CAP).astype(np.uint8)
-                np.minimum(since, lcp.min(), out=since)
-                last = at[ends - 1]
-                tail = last + 1 < len(lcp)
-                since[to[heads]] = CAP
-                if tail.any():
-                    since[to[heads][tail]] = table.least(last[tail] + 1, np.full(int(tail.sum()), len(lcp) - 1))
-            src = p[at].astype(np.int32)
-            for h, e in zip(heads.tolist(), ends.tolist(), strict=True):
-                piece = src[h:e], (c_out[h:e] if c_out is not None else None)
-                if int(to[h]) == c:
-                    own = piece
-                else:
-                    q.push(int(to[h]), *piece)
-            return own
-
-        for c in range(symbols) if up else range(symbols - 1, -1, -1):
-            wave, lcp = q.drain(c)
-            got, got_common = [], []
-            first = True
-            while len(wave):
-                if lcp is not None:
-                    lcp = lcp.copy()
-                    if first:
-                        lcp[0] = 0  # another bucket's entry stands before
-                got.append(wave)
-                got_common.append(lcp)
-                wave, lcp = feed(wave, lcp, c)
-                first = False
-            mine = np.concatenate(got) if got else np.zeros(0, np.int32)
-            made[c] = mine
-            made_common[c] = np.concatenate(got_common) if got and common is not None else np.zeros(0, np.uint8)
-            g = given[c]
-            if len(g):
+                least = table.of(lo, at)
+                least[0] = min(int(least[0]), since)
+                own = np.minimum(least, CAP - 1) + np.uint8(1)
+                rest = lcp[at[-1] + 1 :]
+                since = int(rest.min()) if len(rest) else CAP
+            p, v = self.step(p[at], v[at])
+            lcp = own
+            waves.append((p, v, lcp))
+        made = [np.concatenate(x) for x in zip(*waves, strict=True)]
+        if not given:
+            return made, made
+        sources = [np.concatenate([made[0], given[0]]), np.concatenate([made[1], given[1]]), none[2]]
+        if with_common:
+            g = given[2].copy()
+            g[0] = min(self.run(int(made[0][-1]), c), self.run(int(given[0][0]), c)) if len(made[0]) else 0
+            sources[2] = np.concatenate([made[2], g])
+        return made, sources
+
+    def many(self, lo: int, hi: int, up: bool, queue: list, given: list):
+        """A range of symbols: (symbols, places, befores) of the type that is made, and of all its sources in order."""
+        none = [np.zeros(0, np.int32), np.zeros(0, self.place), np.zeros(0, np.uint64)]
+        queue, given = queue or none, given or none
+        sym, p, v = (np.concatenate(x) for x in zip(queue, given, strict=True))
+        n = len(queue[0]), len(given[0])
+        kind = np.repeat(np.array([0, 3], np.int8), n)  # from the queue, from this range, a repetition of its own symbol, given
+        source = np.concatenate([np.arange(k) for k in n])  # the order of entry, or the entry that induced this one
+        zero = np.zeros(sum(n), np.int64)
+        wave = [sym, p, v, kind, source, zero, zero]  # also: number of the repetition, depth of ranking
+        waves, first = [wave], 0
+        while True:
+            sym, p, v, kind, source, repeat, depth = wave
+            d = (v & self.mask).astype(np.int64)
+            own = (d == sym) & (kind < 3)
+            at = np.flatnonzero((d >= lo) & (d < hi) & (((d > sym) if up else (d < sym)) | own))
+            if not len(at):
+                break
+            own = own[at]
+            again = own & (kind[at] == 2)  # repetitions of one entry are ordered by their number, then as that entry
+            wave = [d[at].astype(np.int32), *self.step(p[at], v[at]), np.where(own, np.int8(2), np.int8(1)), np.where(again, source[at], at + first), np.where(own, repeat[at] + 1, 0), depth[at] + ~again]
+            first += len(sym)
+            waves.append(wave)
+        sym, p, v, kind, source, repeat, depth = (np.concatenate(x) for x in zip(*waves, strict=True))
+        bucket = (sym - lo if up else hi - 1 - sym).astype(np.int64) * 4 + kind
+        total, rank = len(sym), np.zeros(len(sym), np.int64)
+        by_source, wide = (kind == 1) | (kind == 2), total * (int(repeat.max(initial=0)) + 1)
+        order = np.zeros(0, np.int64)
+        for e in range(int(depth.max(initial=-1)) + 1):
+            live = np.flatnonzero(depth <= e) if e or depth.any() else np.arange(total)
+            second = repeat[live] * total + np.where(by_source[live], rank[source[live]], source[live])
+            if 4 * (hi - lo) * wide < 1 << 62:
+                order = live[np.argsort(bucket[live] * wide + second)]
+            else:
+                order = live[np.lexsort((second, bucket[live]))]
+            rank[order] = np.arange(len(order))
+        sym, p, v, kind = sym[order], p[order], v[order], kind[order]
+        made = kind < 3
+        return [sym[made], p[made], v[made]], [sym, p, v]
+
+    def one_pass(self, up: bool, given: Spool, with_common: bool) -> Spool:
+        """given: sources of the other type, by range, in the pass's order. Returns the suffixes made, likewise."""
+        out, queue = Spool(self.budget), Spool(self.budget)
+        ranges = range(len(self.bounds) - 1)
+        kind = np.uint16 if len(ranges) < 1 << 16 else np.int64
+        for r in ranges if up else reversed(ranges):
+            lo, hi = int(self.bounds[r]), int(self.bounds[r + 1])
+            if hi - lo == 1:
+                made, (p, v, lcp) = self.one(lo, up, queue.drain(r), given.drain(r), with_common)
+                if len(made[0]):
+                    out.push(r, *(made if with_common else made[:2]))
+            else:
+                own = given.drain(r)
+                made, (_, p, v) = self.many(lo, hi, up, queue.drain(r), own)
                 lcp = None
+                if len(made[0]):
+                    out.push(r, *made)
+            d = (v & self.mask).astype(np.int32)
+            at = np.flatnonzero((d >= hi) if up else (d > 0) & (d < lo))
+            if not len(at):
+                continue
+            to = d[at]
+            if len(self.bounds) != self.symbols + 1:
+                to = np.searchsorted(self.bounds, to, "right") - 1
+            order = np.argsort(to.astype(kind), kind="stable")
+            at, to = at[order], to[order]
+            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            arrays = [*self.step(p[at], v[at])]
+            if with_common:
+                begin = np.concatenate([[0], at[:-1] + 1])
+                begin[heads] = at[heads]
+                least = _Least(lcp).of(begin, at)
+                least[heads] = 0  # what the queue holds already came from other symbols
+                arrays.append(np.minimum(least, CAP - 1) + np.uint8(1))
+            symbols = d[at]
+            for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+                r2 = int(to[h])
+                held = [x[h:e] for x in arrays]
+                if self.bounds[r2 + 1] - self.bounds[r2] > 1:
+                    held = [symbols[h:e], *held]
+                queue.push(r2, *held)
+        queue.close()
+        return out
+
+    def _single(self, r: int) -> bool:
+        return self.bounds[r + 1] - self.bounds[r] == 1
+
+    def induce(self, ordered: np.ndarray, common: np.ndarray | None = None) -> Iterator[tuple[int, list, list]]:
+        """Of starts in order: (range, L-type, S-type) by falling ranges, both types ascending, from (symbols,) places, befores(, common)."""
+        given, t = Spool(self.budget), self.t
+        for a in range(0, len(ordered), SLICE):
+            p = ordered[a : a + SLICE].astype(self.place)
+            sym = t[p].astype(np.int32)
+            to = np.searchsorted(self.bounds, sym, "right") - 1
+            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            v = self.before(p)
+            for h, e in zip(heads.tolist(), [*heads[1:].tolist(), len(p)], strict=True):
+                held = [p[h:e], v[h:e]]
+                if common is not None:
+                    held.append(common[a + h : a + e])
+                given.push(int(to[h]), *([] if self._single(int(to[h])) else [sym[h:e]]), *held)
+        small = self.one_pass(True, given, common is not None)
+        given.close()
+        flipped, kept = Spool(self.budget), Spool(self.budget)
+        for r in range(len(self.bounds) - 1):
+            own = small.drain(r)
+            if own:
+                kept.push(r, *own)
+                turned = [x[::-1] for x in own]
+                if common is not None:  # a value belongs to the pair, so it moves by one
+                    turned[2] = np.concatenate([[np.uint8(0)], own[2][:0:-1]])
+                flipped.push(r, *turned)
+        small.close()
+        large = self.one_pass(False, flipped, common is not None)
+        flipped.close()
+        for r in range(len(self.bounds) - 2, -1, -1):
+            low, high = kept.drain(r), large.drain(r)
+            if high:
+                turned = [x[::-1] for x in high]
                 if common is not None:
-                    lcp = given_common[c].copy()
-                    lcp[0] = min(int(runs[mine[-1]]), int(runs[g[0]])) if len(mine) else 0
-                feed(g, lcp, c)
-        q.close()
-        return made, made_common
-
-    first = t[lms]
-    bounds = np.searchsorted(first, np.arange(symbols + 1))
-    given = [lms[bounds[c] : bounds[c + 1]] for c in range(symbols)]
-    given_common = [common[bounds[c] : bounds[c + 1]] for c in range(symbols)] if common is not None else given
-    l_made, l_common = one_pass(True, given, given_common)
-    # Descending: sources are L-type entries, last first; a neighbour's value belongs to the pair, so it moves by one.
-    flip = [x[::-1] for x in l_made]
-    flip_common = [np.concatenate([[np.uint8(0)], x[:0:-1]]) if len(x) else x for x in l_common] if common is not None else flip
-    s_made, s_common = one_pass(False, flip, flip_common)
-    sa, lcp = [], []
-    for c in range(1, symbols):
-        small, large = l_made[c], s_made[c][::-1]
-        sa += [small, large]
-        if common is not None:
-            lcp.append(l_common[c])
-            if len(large):
-                seam = min(int(runs[small[-1]]), int(runs[large[0]])) if len(small) else 0
-                lcp.append(np.concatenate([[np.uint8(seam)], s_common[c][:0:-1]]))
-    return np.concatenate(sa) if sa else np.zeros(0, np.int32), np.concatenate(lcp).astype(np.uint8) if lcp else np.zeros(0, np.uint8)
-
-
-def _packed(t: np.ndarray) -> np.ndarray:
-    """Eight symbols of a byte each (plus one for separators: nine bits, seven symbols) in one number."""
-    n = len(t)
-    out = np.zeros(n, np.uint64)
-    wide = np.concatenate([t, np.zeros(8, t.dtype)]).astype(np.uint64)
-    for i in range(7):
-        out = (out << np.uint64(9)) | wide[i : i + n]
-    return out
-
-
-def _compare(t: np.ndarray, left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Common prefixes of suffixes a and b, capped by their members' ends."""
-    word, out = _packed(t), np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    most = np.minimum(np.minimum(left[a], left[b]), CAP)
-    pad = np.concatenate([word, np.zeros(CAP + 8, np.uint64)])
+                    c = int(self.bounds[r])
+                    seam = min(self.run(int(low[0][-1]), c), self.run(int(turned[0][0]), c)) if low else 0
+                    turned[2] = np.concatenate([[np.uint8(seam)], high[2][:0:-1]])
+                high = turned
+            if low or high:
+                yield r, low, high
+        kept.close()
+        large.close()
+
+    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each start's substring, the next start's symbol included: a 64-bit hash, and the length."""
+        length = np.diff(np.concatenate([starts, [len(self.t)]])).astype(np.int64)
+        power = np.full(int(length.max()) + 2, 0x9E3779B97F4A7C15, np.uint64)
+        power[0] = 1
+        power = np.multiply.accumulate(power)
+        out = room(len(starts), np.uint64, self.budget)
+        for a in range(0, len(starts), SLICE):
+            own, size = starts[a : a + SLICE].astype(np.int64), length[a : a + SLICE]
+            first = int(own[0])
+            x = np.concatenate([self.t[first : first + int(size.sum())], [0]]).astype(np.uint64)
+            if first + int(size.sum()) < len(self.t):
+                x[-1] = self.t[first + int(size.sum())]
+            x = (x + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xC2B2AE3D27D4EB4F)
+            from_start = np.arange(len(x) - 1) - np.repeat(own - first, size)
+            sums = np.add.reduceat(x[:-1] * power[from_start], own - first)
+            out[a : a + SLICE] = sums + x[own - first + size] * power[size]
+        return out, length
+
+    def ordered_starts(self) -> np.ndarray:
+        """All starts in the order of their suffixes: separators, then the others."""
+        starts = self.starts()
+        sym = np.concatenate([self.t[starts[a : a + SLICE]] for a in range(0, len(starts), SLICE)])
+        parts, others = starts[sym == 0], np.flatnonzero(sym > 0)
+        if not len(others):
+            return parts
+        rough = np.concatenate([parts, starts[others[np.argsort(sym[others], kind="stable")]]])
+        found = []
+        for r, _, high in self.induce(rough):
+            if high:
+                p, v = high[-2:]
+                symbol = high[0] if len(high) == 3 else int(self.bounds[r])
+                found.append(p[(v & self.mask).astype(np.int64) > symbol])  # after a larger symbol: leftmost
+        del rough
+        ranked = np.concatenate(found[::-1])
+        del found
+        # Starts are never neighbours but for separators, so half a place tells them apart.
+        slot = room(len(self.t) // 2 + 1, self.place, self.budget)
+        slot[starts[others] >> 1] = others
+        at = slot[ranked >> 1]
+        h, length = self.hashes(starts)
+        new = np.ones(len(at), bool)
+        new[1:] = (h[at[1:]] != h[at[:-1]]) | (length[at[1:]] != length[at[:-1]])
+        del h, length, slot
+        count = int(new.sum())
+        if count == len(at):
+            return np.concatenate([parts, ranked])
+        names = room(len(starts), np.int32 if count < (1 << 31) - 1 else np.int64, self.budget)
+        names[:] = 0
+        names[at] = np.cumsum(new)
+        del ranked, at, new, sym, others
+        inner = _Level(names, count + 1, self.budget)
+        return np.concatenate([parts, starts[inner.suffixes()]])
+
+    def suffixes(self) -> np.ndarray:
+        """Places of all suffixes but the separators' in order."""
+        found = []
+        for _, low, high in self.induce(self.ordered_starts()):
+            joined = [np.concatenate(x) for x in zip(low, high, strict=True)] if low and high else low or high
+            found.append(joined[0] if len(joined) == 2 else joined[1][np.argsort(joined[0], kind="stable")])
+        return np.concatenate(found[::-1]) if found else np.zeros(0, self.place)
+
+
+def _compare(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Common prefixes of places a and b of a text of bytes, up to most; eight bytes at a time."""
+    words = np.lib.stride_tricks.as_strided(text[:8].view("<u8"), (len(text) - 7,), (1,))
+    if 8 * len(text) <= 2 * BUDGET:
+        words = np.ascontiguousarray(words)
+    out = np.zeros(len(a), np.int64)
+    live = np.flatnonzero(most > 0)
     while len(live):
-        x, y = pad[a[live] + out[live]], pad[b[live] + out[live]]
-        same = x == y
-        diff = (x ^ y)[~same]
-        # The highest differing bit tells how many of the seven symbols agree.
-        agree = (62 - (np.frexp(diff.astype(np.float64))[1] - 1)) // 9
-        out[live[~same]] += np.clip(agree, 0, 6)
-        out[live[same]] += 7
+        diff = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+        same = diff == 0
+        other = live[~same]
+        low = diff[~same]
+        low = low & (~low + np.uint64(1))  # the lowest bit that differs lies in the first byte that does
+        out[other] += (np.frexp(low.astype(np.float64))[1] - 1) >> 3
         live = live[same]
+        out[live] += 8
         live = live[out[live] < most[live]]
     return np.minimum(out, most).astype(np.uint8)
 
 
-def _sorted_lms(t: np.ndarray, key: np.ndarray, symbols: int, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted leftmost-S positions; t's separators are 0, ordered among themselves by position (key: t with them apart)."""
-    n = len(t)
-    s_type = _types(key)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    seps = np.flatnonzero(t == 0)
-    lms = np.union1d(lms, seps)
-    # Sort their substrings: one induction from any order within buckets.
-    rough = lms[np.argsort(t[lms], kind="stable")].astype(np.int32)
-    sa, _ = _induce(t, s_type, symbols, rough, len(seps), None, budget)
-    is_lms = np.zeros(n + 1, bool)
-    is_lms[lms] = True
-    ranked = sa[is_lms[sa]]
-    following = np.concatenate([lms[1:], [n - 1]])
-    length = np.zeros(n, np.int64)
-    length[lms] = following - lms + 1  # a substring ends with the next leftmost-S symbol
-    name = np.full(n, -1, np.int64)
-    name[seps] = np.arange(len(seps))
-    if len(ranked):
-        a, b = ranked[:-1], ranked[1:]
-        same = length[a] == length[b]
-        hashes = _substring_hashes(key, ranked, length[ranked])
-        same &= hashes[:-1] == hashes[1:]
-        name[ranked] = len(seps) + np.concatenate([[0], np.cumsum(~same)])
-    names = name[lms]
-    if len(np.unique(names)) == len(names):
-        return lms[np.argsort(names, kind="stable")], s_type, lms
-    order = _suffixes_of_names(names, len(seps), budget)
-    return lms[order], s_type, lms
-
-
-def _substring_hashes(key: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each substring: equal neighbours get one name."""
-    mult = np.uint64(0x9E3779B97F4A7C15)
-    n = len(key)
-    power = np.full(n + 1, mult, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    inverse = np.full(n + 1, np.uint64(pow(int(mult), -1, 1 << 64)), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    mixed = (key.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * power[:n], dtype=np.uint64)])
-    return (sums[start + length] - sums[start]) * inverse[start]
-
-
-def _suffixes_of_names(names: np.ndarray, seps: int, budget: int) -> np.ndarray:
-    """Order of the suffixes of the reduced text, whose alphabet is too large for a queue per symbol.
-
-    Each turn of the recursion names pairs of names (so a symbol of the next level spans twice as many), until all names
-    differ. Names of separators are all different and end their members.
-    """
-    rank = names.astype(np.int64)
-    n, step = len(rank), 1
-    while True:
-        nxt = np.concatenate([rank[step:], np.zeros(step, np.int64)]) + 1
-        order = np.lexsort((nxt, rank))
-        a, b = order[:-1], order[1:]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum((rank[a] != rank[b]) | (nxt[a] != nxt[b]))])
-        rank = new
-        step *= 2
-        if rank[order[-1]] == n - 1 or step > n:
-            return order
-
-
-def suffix_array(members: list[bytes], budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of all members in order: member, offset, and the common prefix with the suffix before (capped at CAP).
-
-    Also the member's start in the joint text, by suffix, as the fourth array's difference: (member, offset, common, left),
-    left being the bytes from the suffix to its member's end. Empty members have no suffix.
+def buckets(members: list[bytes], budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Suffixes of all members by first byte, from the largest down, each bucket in order: (member, offset, common).
+
+    common is that with the suffix before, capped at CAP; 0 for a bucket's first. Empty members have no suffix.
     """
-    sizes = np.fromiter(map(len, members), np.int64, len(members))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    n = int(sizes.sum()) + len(members)
-    if not len(members) or n == len(members):
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint8), z
-    joint = np.frombuffer(b"\0".join(members) + b"\0", np.uint8).astype(np.int16) + 1
-    ends = starts + sizes
-    t = joint
+    whole = [i for i, m in enumerate(members) if m]
+    if not whole:
+        return
+    sizes = np.array([len(members[i]) for i in whole], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    n = int(ends[-1]) + 1
+    text, t = room(n + CAP + 16, np.uint8, budget), room(n, np.int16, budget)
+    at = 0
+    for k in range(0, len(whole), 4096):
+        part = np.frombuffer(b"\0".join(members[i] for i in whole[k : k + 4096]) + b"\0", np.uint8)
+        text[at : at + len(part)] = part
+        t[at : at + len(part)] = part
+        t[at : at + len(part)] += 1
+        at += len(part)
+    text[n:] = 0
     t[ends] = 0
-    key = t.astype(np.int64) + len(members)
-    key[ends] = np.arange(len(members))
-    owner = np.repeat(np.arange(len(members)), sizes + 1)
-    left = ends[owner] - np.arange(n)
-    lms, s_type, _ = _sorted_lms(t, key, 257, budget)
-    common = np.concatenate([[np.uint8(0)], _compare(t, left, lms[:-1], lms[1:])])
-    sa, lcp = _induce(t, s_type, 257, lms.astype(np.int32), len(members), common, budget)
-    rest = left[sa]
-    before = np.concatenate([[0], rest[:-1]])
-    lcp = np.minimum(np.minimum(lcp, rest), before).astype(np.uint8)
-    return owner[sa], sa - starts[owner[sa]], lcp, rest
+    level = _Level(t, 257, budget)
+    ordered = level.ordered_starts()
+    common = room(len(ordered), np.uint8, budget)
+    common[:] = 0
+    for k in range(len(whole), len(ordered), SLICE):  # separators share nothing
+        p = ordered[k - 1 : k + SLICE].astype(np.int64)
+        left = ends[np.searchsorted(ends, p)] - p
+        common[k : k + SLICE] = _compare(text, p[:-1], p[1:], np.minimum(np.minimum(left[:-1], left[1:]), CAP))
+    numbers = np.array(whole, np.int64)
+    for _, low, high in level.induce(ordered, common):
+        p = np.concatenate([x[0] for x in (low, high) if x]).astype(np.int64)
+        lcp = np.concatenate([x[2] for x in (low, high) if x])
+        member = np.searchsorted(ends, p)
+        yield numbers[member], p - (ends[member] - sizes[member]), lcp
+
+
+def suffix_array(members: list[bytes], budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes in order: (member, offset, common)."""
+    found = [*buckets(members, budget)][::-1]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

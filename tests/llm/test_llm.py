@@ -141,9 +141,43 @@ def test_induced_sorting(letters):
         members += [members[0] * 2, members[-1]]
         suffixes = sorted(((m[i:], k, i) for k, m in enumerate(members) for i in range(len(m))), key=lambda s: ([c + 1 for c in s[0]] + [0], s[1]))
         common = [0] + [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for (a, *_), (b, *_) in zip(suffixes, suffixes[1:], strict=False)]
-        owner, offset, shared, _ = induced.suffix_array(members, budget=rng.choice([8, 1 << 20]))  # a few bytes: queues go to disk
+        spilt = induced.Spool.spills
+        budget = rng.choice([8, 1 << 20])
+        owner, offset, shared = induced.suffix_array(members, budget=budget)  # a few bytes: queues, arrays and buckets go to disk
         assert list(zip(owner.tolist(), offset.tolist(), shared.tolist(), strict=True)) == [(k, i, c) for (_, k, i), c in zip(suffixes, common[: len(suffixes)], strict=True)]
-
+        assert (induced.Spool.spills > spilt) == (budget == 8 and len(owner) > 0)
+
+
+def test_induced_sorting_of_a_shard_above_its_budget():
+    """Names repeat for several levels of the recursion, in ranges of many symbols, and all of it is on disk."""
+    rng = random.Random(6)
+    base = bytes(rng.choices(b"abcd", k=3000))
+    members = [base[a : a + rng.randint(50, 700)] + bytes(rng.choices(b"abcd-", k=9)) for a in rng.choices(range(2500), k=60)] + [b"-" * 400, b"ab" * 200]
+    spilt, found = induced.Spool.spills, {}
+    for budget in (1 << 12, 1 << 30):
+        found[budget] = [x.tolist() for x in induced.suffix_array(members, budget)]
+    assert induced.Spool.spills - spilt > 50 and found[1 << 12] == found[1 << 30]
+    owner, offset, shared = found[1 << 12]
+    texts = [members[k][i:] for k, i in zip(owner, offset, strict=True)]
+    assert texts == sorted(texts) and len(texts) == sum(map(len, members))
+    for a, b, c in list(zip(texts, texts[1:], shared[1:], strict=False))[::7]:
+        same = next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b)))
+        assert c == min(same, induced.CAP)
+
+
+@pytest.mark.parametrize("switches", [{}, {"HELD": 20}, {"NAMED": 2000}, {"HOT": 1000}])
+def test_suffix_dedup_of_hot_passages(spark, monkeypatch, switches):
+    """Copies, shared passages in different surroundings and periodic texts, with each way of splitting them."""
+    for name, value in switches.items():
+        monkeypatch.setattr(suffix_dedup, name, value)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 7)))
+    base = " ".join(word() for _ in range(120))
+    rows = [(i, " ".join(word() for _ in range(15)) + base[a : a + rng.randint(150, 400)] + " ".join(word() for _ in range(15))) for i, a in enumerate(rng.choices(range(400), k=25))]
+    rows += [(50, base), (51, base), (51, base), (None, base + "!"), (52, "-" * 500 + "x"), (53, "y" + "-" * 450), (54, "ab" * 150), (55, "é" * 150 + base)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, `key` string, begins int")
+    got = sorted((tuple(r) for r in suffix_dedup.report(df).collect()), key=str)
+    assert got == removed_by_force(rows) and suffix_dedup.deduped(df).columns == df.columns and suffix_dedup.deduped(df).count() == len(rows)
 
 def test_quality_counts(docs, none, spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, None), (5, None, None)], "doc_id long, quality int, toxic int")
