@@ -277,19 +277,91 @@ def test_pages(spark):
     rows = [(i, f"http://h.example/{i}", other % (i, i)) for i in range(5)] + [(9, None, page), (10, "http://h.example/x", None), (11, "http://x.example", ""), (12, "http://x.example", "just text")]
     got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "T3\n\nBody 3 & more" and got[9] == "Title é\n\nFirst para line link.\n\none\n\ntwo" and got[10] == got[11] == "" and got[12] == "just text"
-    slots = pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert [(r.host, r.slot) for r in slots] == [("h.example", "html>body>article")]
     assert pages.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 def test_pages_keep_text_beside_a_larger_part(spark):
     parts = '<html><body><div id=c><div class=intro><p>{0} intro</p></div><div class=rest><p>{0} {1}</p></div></div></body></html>'
     two = "<html><body><article><p>short</p></article><article><p>a much longer second one</p></article></body></html>"
-    late = "<html><body><div class=rest><p>{} long enough</p></div></body>\ntail</html>"
+    late = "<html><body><div class=rest><p>{0} long enough</p></div></body>\ntail {0}</html>"
     rows = [(i, "http://h.example", parts.format(i, "rest " * 9)) for i in range(4)] + [(8, "http://two.example", two)] + [(10 + i, "http://late.example", late.format(i)) for i in range(3)]
     got = {r.page_id: r.text for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{i} intro\n\n{i} " + " ".join(["rest"] * 9) for i in range(4))
-    assert got[8] == "short\n\na much longer second one" and all(got[10 + i] == f"{i} long enough\n\ntail" for i in range(3))
+    assert got[8] == "short\n\na much longer second one" and all(got[10 + i] == f"{i} long enough\n\ntail {i}" for i in range(3))
+
+
+CHROME = '<html><body><div class=x1><ul><li>Home</li><li>About us</li></ul></div><div class=x2><p>Best site of the web the best</p></div><div class=x3>{0}</div><div class=x4><p>All rights are ours</p><p>write to us</p></div></body></html>'
+CHROME_2 = '<html><body><div class=top>Menu of things</div><div class=mid><h2>{1}</h2>{0}</div><div class=end>End of page</div></body></html>'
+
+
+def site(spark):
+    """Three hosts: chrome without telling names, copies of one page, too few pages; and what doesn't fit any."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(2, 7)))
+    rows, want = [], {}
+    for i in range(24):
+        paras = [" ".join(word() for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))]
+        extra = "<div class=discussion><p>we discuss " + paras[0] + "</p></div>" if i % 2 else ""
+        kept = ["we discuss " + paras[0]] if i % 2 else []
+        if i < 14:
+            rows.append((i, f"http://a.example/{i}", CHROME.format("".join(f"<p>{x}</p>" for x in paras) + extra)))
+            want[i] = "\n\n".join([*paras, *kept])
+        else:
+            title = word()
+            rows.append((i, f"https://B.example/{i}", CHROME_2.format("".join(f"<p class=related-work>{x}</p>" for x in paras), title)))
+            want[i] = "\n\n".join([title, *paras])
+    copy = "<html><body><div><p>the same text here</p><p>and more of it</p></div></body></html>"
+    rows += [(100 + i, "http://copies.example/", copy) for i in range(12)]
+    want |= {100 + i: "the same text here\n\nand more of it" for i in range(12)}
+    rows += [(200, "http://few.example/", CHROME.format("<p>one</p>")), (201, None, "<p>" + "long words " * 50_000), (202, "http://few.example/", None), (203, "nothing", "")]
+    want |= {200: "Home\n\nAbout us\n\nBest site of the web the best\n\none\n\nAll rights are ours\n\nwrite to us", 201: ("long words " * 50_000).strip(), 202: "", 203: ""}
+    rows.append(rows[0])  # a repeated row
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, salt int"), want
+
+
+def classes_by_force(rows):
+    """host to the template's words: those whose pages are just the pages of their block."""
+    by_host = {}
+    for n, (_, url, page) in enumerate(rows):
+        m = re.match("[a-zA-Z]+://([^/]*)", url or "")
+        by_host.setdefault(m[1].lower() if m else "", []).append((n, page or ""))
+    out = {}
+    for host, own in by_host.items():
+        known = pages._Hashes()
+        roles, tokens, text, held = {}, {}, 0, {}
+        for n, page in own:
+            for b in pages.blocks(page, known):
+                inside = roles.setdefault(b.role, [set(), b.inside])[0]
+                inside.add(n)
+                text += len(b.text)
+                for t in set(pages.word_tokens(b, known).tolist()):
+                    tokens.setdefault(t, (b.role, set()))[1].add(n)
+        fixed = {t for t, (r, at) in tokens.items() if at == roles[r][0] and len(at) >= (pages.FIRM if roles[r][1] else pages.SUPPORT)}
+        if fixed:
+            out[host] = fixed
+    return out
+
+
+@pytest.mark.parametrize("switches", [{}, {"LOCAL": 10**6, "CHUNK": 2}, {"LOCAL": 1, "REACH": 3000}])
+def test_pages_deduce_templates(spark, monkeypatch, switches):
+    for name, value in switches.items():
+        monkeypatch.setattr(pages, name, value)
+    df, want = site(spark)
+    got = pages.extracted(df).collect()
+    assert len(got) == len(want) + 1 and {r.page_id: r.text for r in got} == want
+    rows = [tuple(r)[:3] for r in df.collect()]
+    force = classes_by_force(rows)
+    found = {r.host: set(r.words) for r in pages.templates(df).collect() if r.words}
+    assert set(found) == {"a.example", "b.example"} and "copies.example" in force and all(found[h] == force[h] for h in found)
+
+
+def test_pages_rule_out_by_whole_names():
+    text = lambda inner: pages.extract(f"<body><article><p>keep</p>{inner}</article></body>")
+    for name in ("discussion", "related-work", "article-header", "share", "search-results", "side-effects", "notices-of-death"):
+        assert text(f'<div class="{name}"><p>more</p></div>') == "keep\n\nmore", name
+    for name in ("comments", "comment-list", "cookie-notice", "ad", "site-nav", "sidebar"):
+        assert text(f'<div class="{name}"><p>more</p></div>') == "keep", name
+    assert text("<p>x <math><mi>y</mi></math> z</p><textarea>t</textarea><svg><text>s</text></svg>") == "keep\n\nx y z\n\ns"
 
 
 def test_media(docs, none, spark):
