@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that part words: `[^\x20\x09-\x0D]+` is a word. `bytes.split()` splits at exactly these.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -45,10 +46,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset in local mode (tests)."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigraph-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="lexigraph-"))
     return sc.getCheckpointDir()
 
 
@@ -124,3 +128,14 @@ def map_rows(df: DataFrame, schema: str, each: Callable[..., tuple], make: Calla
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def sample(df: DataFrame, limit: int, *key: str) -> DataFrame:
+    """At most limit rows, those of the least hashes of key.
+
+    A threshold from the count of rows comes first, so that no task sends limit rows to the driver.
+    """
+    h, = fresh(df.columns, "h")
+    below = min(1.0, (1.1 * limit + 1000) / max(1, df.count()))
+    hashed = df.withColumn(h, F.xxhash64(F.lit(77), *key)).where(F.pmod(F.col(h), F.lit(1 << 40)) < int(below * (1 << 40)))
+    return hashed.orderBy(h, *key).limit(limit).drop(h)

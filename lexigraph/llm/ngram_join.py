@@ -48,6 +48,8 @@ FEW, ROUNDS = 40, 1
 #: Members of a hub that are compared in one task group.
 STAR = 256
 
+#: Tokens that a worker holds before it deals them to the fragments.
+HELD = 1_000_000
 #: A bucket with more strong rows than this is compared in blocks of so many rows, as products of indicator matrices.
 MANY, BLOCK = 64, 2048
 #: Candidate pairs that are sent to every executor rather than shuffled with the sets; 24 bytes each.
@@ -93,27 +95,14 @@ def _ranked(tokens: np.ndarray) -> np.ndarray:
 
 
 def _fragments(fragments: int):
-    """Documents to rows (fragment, nodes, counts, tokens, info): what each fragment gets of a batch."""
+    """Documents to rows (fragment, nodes, counts, tokens, info): what each fragment gets of HELD tokens."""
 
     def run(batches):
         known = _Hashes()
-        for batch in batches:
-            if len(known) > 2_000_000:
-                known = _Hashes()
-            nodes: dict[int, tuple] = {}
-            info, sent, owner = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
-                tokens = shingles(text, known)
-                node = node_id(tokens)
-                info.append((0 if doc_id is None else doc_id, doc_id is None, node, len(tokens)))
-                if node in nodes or len(tokens) < 4:  # fewer than four tokens link with equal sets alone
-                    continue
-                ranked = tokens[_ranked(tokens)]
-                nodes[node] = (len(tokens), len(ranked))
-                short = len(tokens) // 5 + 1 - len(ranked)
-                mine = np.concatenate([ranked, tokens[~_ranked(tokens)][:short]]) if short > 0 else ranked
-                sent.append(mine)
-                owner.append(np.full(len(mine), node, np.int64))
+        nodes: dict[int, tuple] = {}
+        info, sent, owner, held = [], [], [], 0
+
+        def dealt():
             tokens = np.concatenate(sent) if sent else np.zeros(0, np.int64)
             owners = np.concatenate(owner) if owner else np.zeros(0, np.int64)
             cut = ((tokens >> 3) % fragments).astype(np.int64)
@@ -131,20 +120,52 @@ def _fragments(fragments: int):
                     first = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.zeros(0, np.int64)
                     counts = np.diff(np.concatenate([first, [len(o)]])).astype(np.int32)
                     rows.append((f, o[first].tobytes(), counts.tobytes(), tokens[own].tobytes(), about[mine].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], names=["fragment", "nodes", "counts", "tokens", "info"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)]], names=["fragment", "nodes", "counts", "tokens", "info"])
+
+        for batch in batches:
+            if len(known) > 2_000_000:
+                known = _Hashes()
+            for doc_id, text in zip(batch.column(0).to_pylist(), common.as_bytes(batch.column(1)), strict=True):
+                tokens = shingles(text, known)
+                node = node_id(tokens)
+                info.append((0 if doc_id is None else doc_id, doc_id is None, node, len(tokens)))
+                held += 4
+                if node not in nodes and len(tokens) >= 4:  # fewer than four tokens link with equal sets alone
+                    ranked = tokens[_ranked(tokens)]
+                    nodes[node] = (len(tokens), len(ranked))
+                    short = len(tokens) // 5 + 1 - len(ranked)
+                    mine = np.concatenate([ranked, tokens[~_ranked(tokens)][:short]]) if short > 0 else ranked
+                    sent.append(mine)
+                    owner.append(np.full(len(mine), node, np.int64))
+                    held += len(mine)
+                if held >= HELD:
+                    yield dealt()
+                    nodes.clear()
+                    info, sent, owner, held = [], [], [], 0
+        if info:
+            yield dealt()
 
     return run
 
 
 def _count(batches):
-    """All fragments of a task: frequencies, and for each node its tokens that occur elsewhere too."""
-    nodes, tokens, info = [], [], []
+    """Rows sorted by fragment: the counts of each."""
+    nodes, tokens, info, last = [], [], [], None
     for batch in batches:
-        for n, c, t, i in zip(*[batch.column(k).to_pylist() for k in ("nodes", "counts", "tokens", "info")], strict=True):
+        for f, n, c, t, i in zip(*[batch.column(k).to_pylist() for k in ("fragment", "nodes", "counts", "tokens", "info")], strict=True):
+            if f != last and last is not None:
+                yield from _counted(nodes, tokens, info)
+                nodes, tokens, info = [], [], []
+            last = f
             nodes.append(np.repeat(np.frombuffer(n, np.int64), np.frombuffer(c, np.int32)))
             tokens.append(np.frombuffer(t, np.int64))
             info.append(np.frombuffer(i, np.int64).reshape(-1, 5))
+    if last is not None:
+        yield from _counted(nodes, tokens, info)
+
+
+def _counted(nodes: list, tokens: list, info: list):
+    """A fragment: frequencies, and for each node its tokens that occur elsewhere too."""
     names = ["kind", "node", "n", "ranked", "doc_id", "tokens", "counts"]
     schema = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("n", pa.int64()), ("ranked", pa.int64()), ("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
     if info and len(about := np.concatenate(info)):
@@ -354,11 +375,11 @@ def _in_blocks(rows_of: DataFrame, tokens: DataFrame, nodes: DataFrame, texts: D
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The operator: rows (doc_id, node, n), links (a, b, na, nb: enough to connect what is linked), labels (node, label)."""
     spark = docs.sparkSession
-    p = common.partitions(spark)
+    p = common.partitions(spark, docs)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    cut = texts.mapInArrow(_fragments(2 * p), "fragment int, nodes binary, counts binary, tokens binary, info binary")
+    cut = texts.mapInArrow(_fragments(4 * p), "fragment int, nodes binary, counts binary, tokens binary, info binary")
     schema = "kind int, node long, n long, ranked long, doc_id long, tokens array<long>, counts array<int>"
-    counted = common.stored(cut.repartition(p, "fragment").mapInArrow(_count, schema), "ngram-fragments")
+    counted = common.stored(cut.repartition(p, "fragment").sortWithinPartitions("fragment").mapInArrow(_count, schema), "ngram-fragments")
     _settle(docs)
     rows = counted.where("kind = 0").select("doc_id", "node", "n", "ranked")
     nodes = rows.groupBy("node").agg(F.max("n").alias("n"), F.max("ranked").alias("ranked"), F.min("doc_id").alias("doc_id"))
@@ -437,9 +458,10 @@ def clusters(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: of the least doc_id (nulls last; of rows that share it, one). Rows without words stay."""
     # Ids may repeat or be null, so rows are told apart by a number of their own; stored, for it must not change between reads.
-    numbered = common.stored(docs.withColumn("_lx_row", F.monotonically_increasing_id()), "ngram-rows")
-    found = clusters(numbered.select(F.col("_lx_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id")
-    own = found.join(numbered.select("_lx_row", "doc_id", F.xxhash64("text").alias("t")), F.col("_row") == F.col("_lx_row"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t", "_row"))["_row"]
-    chosen = own.where("n_shingles > 0").groupBy("component_id").agg(first.alias("_row")).select("_row").unionByName(own.where("n_shingles = 0").select("_row"))
-    return numbered.join(chosen, F.col("_lx_row") == F.col("_row"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, = common.fresh(docs.columns, "row")
+    numbered = common.stored(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
+    found = clusters(numbered.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    own = found.join(numbered.select(F.col(row).alias("row"), "doc_id", F.xxhash64("text").alias("t")), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t", "row"))["row"]
+    chosen = own.where("n_shingles > 0").groupBy("component_id").agg(first.alias("row")).select("row").unionByName(own.where("n_shingles = 0").select("row"))
+    return numbered.join(chosen.withColumnRenamed("row", row), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
