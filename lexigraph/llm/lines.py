@@ -14,22 +14,33 @@ same lines); extra columns pass through. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW = 3
 
 
+def _with(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body names it (a projection may be copied into each use)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n", -1)
+
+
 def windows(docs: DataFrame) -> DataFrame:
     """doc_id, t (hash of the text), p (first line's position), h1 and h2 (the window's hashes)."""
-    lines = F.split("text", "\n", -1)
-    line = lambda i: F.element_at(F.col("lines"), (i + 1).cast("int"))
-    each = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - WINDOW),
-        lambda i: F.struct(i.alias("p"), F.xxhash64(line(i), line(i + 1), line(i + 2)).alias("h1"), F.xxhash64(F.lit(7), line(i + 2), line(i), line(i + 1)).alias("h2")),
-    )
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), lines.alias("lines")).where(F.size("lines") >= WINDOW)
-    return rows.select("doc_id", "t", F.explode(each).alias("w")).select("doc_id", "t", "w.*")
+
+    def each(lines: Column) -> Column:
+        line = lambda i: F.element_at(lines, (i + 1).cast("int"))
+        places = F.when(F.size(lines) >= WINDOW, F.sequence(F.lit(0), F.size(lines) - WINDOW)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(i.alias("p"), F.xxhash64(line(i), line(i + 1), line(i + 2)).alias("h1"), F.xxhash64(F.lit(7), line(i + 2), line(i), line(i + 1)).alias("h2")))
+
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.explode(_with(_lines(F.col("text")), each)).alias("w"))
+    return rows.select("doc_id", "t", "w.*")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -42,25 +53,31 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def deduped(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """docs with shorter texts, in the columns of docs; drop_emptied leaves out rows that lost all their lines."""
-    rows = _cut(docs)
+    rows, covered, kept = _cut(docs)
     if drop_emptied:
-        rows = rows.where(F.col("_lx_gone").isNull() | (F.size("_lx_covered") < F.size(F.split(F.col("d.text"), "\n", -1))))
-    return rows.select(*[F.col("d." + f"`{c}`") if c != "text" else F.col("_lx_kept").alias("text") for c in docs.columns])
+        rows = rows.where(F.col(covered).isNull() | (F.size(covered) < F.size(_lines(F.col("text")))))
+    return rows.select(*[F.col(f"`{c}`") if c != "text" else F.col(kept).alias("text") for c in docs.columns])
+
+
+def _cut(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two more columns: the positions of lines that go (null: none do), and what is left of the text."""
+    id_, t, gone, covered, kept = common.fresh(docs.columns, "id", "t", "gone", "covered", "kept")
+    found = removals(docs).withColumnsRenamed({"doc_id": id_, "t": t, "gone": gone})
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(t)), "left")
+    joined = joined.withColumn(covered, F.when(F.col(gone).isNotNull(), F.array_distinct(F.flatten(F.transform(gone, lambda p: F.array(p, p + 1, p + 2))))))
 
+    def left(lines: Column) -> Column:  # set operations of arrays take time linear in their lengths
+        places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+        return F.array_join(F.transform(places, lambda i: F.element_at(lines, i + 1)), "\n")
 
-def _cut(docs: DataFrame) -> DataFrame:
-    gone = removals(docs).withColumnsRenamed({"doc_id": "_lx_id", "t": "_lx_t", "gone": "_lx_gone"})
-    joined = docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("_lx_id")) & (F.xxhash64("d.text") == F.col("_lx_t")), "left")
-    lines = F.split(F.col("d.text"), "\n", -1)
-    covered = F.array_distinct(F.flatten(F.transform("_lx_gone", lambda p: F.array(p, p + 1, p + 2))))
-    kept = F.when(F.col("_lx_gone").isNull(), F.col("d.text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("_lx_covered"), s["i"]))["x"], "\n"))
-    return joined.withColumn("_lx_covered", F.when(F.col("_lx_gone").isNotNull(), covered)).withColumn("_lx_kept", kept)
+    return joined.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(_with(_lines(F.col("text")), left))), covered, kept
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: what is left and how many lines went."""
-    left = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(F.split(F.col("d.text"), "\n", -1)))
-    return _cut(docs).select(F.col("d.doc_id").alias("doc_id"), left.cast("long").alias("n_lines"), F.coalesce(F.size("_lx_covered"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce("_lx_kept", F.lit("")), 256).alias("kept_sha256"))
+    rows, covered, kept = _cut(docs)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    return rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(kept, F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLE = """
