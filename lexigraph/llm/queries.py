@@ -32,9 +32,10 @@ REMAINDER = "crc32(cast(doc_id as string)) % 5"
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a doc_id isn't held out (and has no label to learn from)."""
     docs = common.table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, common.table(spark, sf_dir, "labels"), f"{REMAINDER} != 0")
-    return toxicity.scored(docs, lexicon).select("doc_id", F.expr(f"{REMAINDER} = 0").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.scored(docs, lexicon).select("doc_id", F.expr(f"coalesce({REMAINDER} = 0, false)").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,19 @@ of a term that clean rows hold as often as toxic ones, take a hit back. The scor
 hits, the hits per hundred words, and the number of distinct terms.
 
 Only labelled rows for which `trainable` holds take part in learning, MAX_LABELLED at most (least hash of the id); what
-the driver gathers of them is a bounded table of terms and three numbers a row. Scores never see labels, lang, source or id.
+the driver gathers of them is a table of terms, which such a sample bounds, and three numbers a row. Scores never see
+labels, lang, source or id.
 
 Defined results: null and empty texts have no hits and get the score of no hits; whole texts are matched however long;
-repeated rows are scored alike; labels that are null are ignored; without labels the lexicon is empty and every score is
-PRIOR. Extra columns don't matter; an empty table gives an empty result.
+repeated rows are scored alike; labels that are null are ignored; a text that is labelled both ways is learnt once, as toxic;
+of hits that begin at one place the heaviest counts, of equal ones the first term by code points; without labels the lexicon
+is empty and every score is PRIOR. Extra columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_LABELLED, MAX_TERMS, PRIOR = 20_000, 400, 0.1
+MAX_LABELLED, PRIOR = 20_000, 0.1
 #: A term has at least this many letters, stands in this share of toxic rows, and is so many times as frequent in them.
 LEAST, SHARE, LIFT = 4, 0.008, 12.0
 PREFIXES = (4, 5, 6, 7)
@@ -43,7 +46,7 @@ class _Fold(dict):
         low = c.lower()[:1]
         if 0xFF01 <= code <= 0xFF5E:
             low = chr(code - 0xFEE0).lower()
-        out = _LOOKS.get(low) or _SIGNS.get(low) or (low if low.isalpha() else "" if c in "​‌‍­﻿" else " ")
+        out = _LOOKS.get(low) or (low if low.isalpha() or low in _SIGNS else "" if c in "​‌‍­﻿" else " ")
         self[code] = out
         return out
 
@@ -51,9 +54,18 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+_SIGNED = re.compile(r"\S*[" + re.escape("".join(_SIGNS)) + r"]\S*")
+_AS_LETTERS = str.maketrans(_SIGNS)
+
+
+def _unsigned(m: re.Match) -> str:
+    """Signs are letters in a word that has letters; other numbers are none."""
+    return m[0].translate(_AS_LETTERS) if any(c.isalpha() for c in m[0]) else " "
+
+
 def fold(text: str) -> str:
     """Words of folded letters, each with one space before it."""
-    return " " + " ".join(text.translate(_FOLD).split()) + " "
+    return " " + " ".join(_SIGNED.sub(_unsigned, text.translate(_FOLD)).split()) + " "
 
 
 def candidates(folded: str) -> set[str]:
@@ -89,7 +101,7 @@ class Lexicon:
                     spared.append((end - len(w) + 1, end))
                 else:
                     at = end - len(term) + 1  # one hit a word: the heaviest
-                    if at not in hits or hits[at][0] < w:
+                    if at not in hits or (-w, term) < (-hits[at][0], hits[at][1]):
                         hits[at] = (w, term)
         if spared:
             hits = {at: h for at, h in hits.items() if not any(a <= at < b for a, b in spared)}
@@ -126,9 +138,10 @@ def learn(docs: DataFrame, labels: DataFrame, trainable: str = "true", max_label
     import pyarrow as pa
 
     spark = docs.sparkSession
-    chosen = labels.where("doc_id is not null and toxic is not null").where(trainable).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    bounded = spark.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    sample = common.stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(bounded), "doc_id").dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
+    chosen = labels.where("doc_id is not null and toxic is not null").where(trainable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    bounded = spark.createDataFrame(common.sample(chosen.select(F.col("doc_id").cast("long"), "toxic"), max_labelled, "doc_id").collect(), "doc_id long, toxic int")
+    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(bounded), "doc_id")
+    sample = common.stored(own.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
 
     def count(batches):
         seen = (Counter(), Counter())
@@ -146,11 +159,11 @@ def learn(docs: DataFrame, labels: DataFrame, trainable: str = "true", max_label
     if not total or not total.toxic or not total.clean:
         return Lexicon({}, [], [])
     lift = (F.col("toxic") / total.toxic) / ((F.col("clean") + 1) / total.clean)
-    found = counts.where("term != ''").where(F.col("toxic") >= max(6, SHARE * total.toxic)).withColumn("lift", lift).where(F.col("lift") >= LIFT).orderBy(F.desc("toxic"), F.desc("lift"), "term").limit(4 * MAX_TERMS).collect()
+    found = counts.where("term != ''").where(F.col("toxic") >= max(6, SHARE * total.toxic)).withColumn("lift", lift).where(F.col("lift") >= LIFT).orderBy(F.desc("toxic"), F.desc("lift"), "term").collect()
     weights: dict[str, float] = {}
     covered: list[str] = []
     for r in found:  # a term that a kept word beginning covers adds nothing
-        if len(weights) == MAX_TERMS or any(r.term.startswith(k) for k in covered):
+        if any(r.term.startswith(k) for k in covered):
             continue
         # The longest term with nearly as many toxic rows stands for it: it hits fewer innocent words.
         best = max((x for x in found if x.term.startswith(r.term) and x.toxic >= 0.9 * r.toxic), key=lambda x: (len(x.term.rstrip()), not x.term.endswith(" ")))
@@ -173,8 +186,8 @@ def learn(docs: DataFrame, labels: DataFrame, trainable: str = "true", max_label
 
     phrases = sample.mapInArrow(contexts, "numbers array<double>, toxic int, phrases array<string>")
     by = phrases.select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count_if(F.col("toxic") > 0).alias("bad"), F.count_if(F.col("toxic") <= 0).alias("good"))
-    lexicon.exceptions = [r.phrase for r in by.where((F.col("good") >= 5) & (F.col("good") / total.clean >= F.col("bad") / total.toxic)).orderBy(F.desc("good"), "phrase").limit(MAX_TERMS).collect()]
-    rows = sample.mapInArrow(contexts, "numbers array<double>, toxic int, phrases array<string>").select("numbers", "toxic").collect()
+    lexicon.exceptions = [r.phrase for r in by.where((F.col("good") >= 5) & (F.col("good") / total.clean >= F.col("bad") / total.toxic)).orderBy(F.desc("good"), "phrase").collect()]
+    rows = sample.mapInArrow(contexts, "numbers array<double>, toxic int, phrases array<string>").select("numbers", "toxic").orderBy("toxic", "numbers").collect()
     lexicon.model = _logistic(np.array([r.numbers for r in rows]), np.array([r.toxic > 0 for r in rows], float))
     return lexicon
 
