@@ -31,6 +31,8 @@ from . import common
 
 WIDTH, LEVEL = 64, 3
 RANGE, BATCH, TRIES = 16 << 20, 4 << 20, 3
+#: Ranges of a plan, about, beyond one an archive.
+MOST = 50_000
 
 #: Header of a member: mark, flags (1: doc_id is null), doc_id, bytes of the text, bytes stored, CRC-32 of these.
 _HEADER = struct.Struct("<4sBqqqI")
@@ -145,7 +147,8 @@ class ArchiveReader(DataSourceReader):
 
         system, inner = _open(self.manifest)
         rows = ds.dataset(inner, filesystem=system, format="parquet", exclude_invalid_files=True).to_table(columns=["path", "bytes"]).to_pylist()
-        found = [Range(r["path"], at, min(at + self.range, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], self.range)]
+        step = max(self.range, sum(r["bytes"] for r in rows) // MOST)  # the driver lists the ranges, so their number is bounded
+        found = [Range(r["path"], at, min(at + step, r["bytes"])) for r in sorted(rows, key=lambda r: r["path"]) for at in range(0, r["bytes"], step)]
         return found or [Range("", 0, 0)]
 
     def _member(self, system, inner: str, file, at: int) -> tuple:
