@@ -58,7 +58,7 @@ def chunked(docs: DataFrame, sections: str = "sections", most: int = MAX_CHUNK,
     each = rows.withColumn("_n", F.size(pieces)).select("*", F.posexplode(pieces).alias("_j", "content"))
     blocks = F.when((F.col("_n") == 1) & (F.col("_j") == 0), F.col("_x._s.code_blocks")).otherwise(F.array().cast("array<struct<language: string, value: string>>"))
     return each.select(
-        *keep, (F.col("_i") * 100000 + F.col("_j")).alias("chunk_no"), F.coalesce("_x._s.heading", F.lit("")).alias("title"), "content", F.col("_x._b").alias("breadcrumb"),
+        *keep, (F.col("_i").cast("long") * (1 << 32) + F.col("_j")).alias("chunk_no"), F.coalesce("_x._s.heading", F.lit("")).alias("title"), "content", F.col("_x._b").alias("breadcrumb"),
         T.token_count(F.col("content")).alias("token_count"), F.get("_x._s.code_blocks", F.lit(0))["language"].alias("language"), blocks.alias("code_blocks"),
     )
 

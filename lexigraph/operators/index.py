@@ -2,8 +2,11 @@
 
 postings(library_id, library_version, snippet_id, col, pos, term)    doc_stats(snippet_id, doc_len)
 
-Both derive from the snippets as they are now, so no stale term survives an update. `write` sorts postings by term, so
-that a query's terms prune row groups by their minima and maxima.
+totals(library_id, library_version, n_docs, sum_len)
+
+All derive from the snippets as they are now, so no stale term survives an update. Files are partitioned by library and
+version, so that an ingest or a removal rewrites its own partitions only, and sorted by term, so that a query's terms prune row
+groups by their minima and maxima. totals has a row a version: N and the mean length come from it without a scan.
 """
 
 from __future__ import annotations
@@ -55,6 +58,25 @@ def term_df(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count_distinct("snippet_id").alias("df"), F.count("*").alias("cf"))
 
 
+KEYS = ("library_id", "library_version")
+
+
 def write(snippets: DataFrame, path: str, profile: str = "plain") -> None:
-    postings(snippets, profile).repartitionByRange("term").sortWithinPartitions("term", "snippet_id", "col", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    doc_stats(snippets).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    """Writes the partitions of all versions that snippets holds, and leaves others as they are."""
+    own = snippets.select("id", *KEYS, *COLUMNS)
+    lengths = doc_stats(own).withColumnRenamed("snippet_id", "id")
+    stats = own.select("id", *KEYS).join(lengths, "id").select(F.col("id").alias("snippet_id"), "doc_len", *KEYS)
+    put = lambda rows, table: rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/{table}")
+    put(postings(own, profile).repartitionByRange(*KEYS, "term").sortWithinPartitions(*KEYS, "term", "snippet_id", "col", "pos"), "postings")
+    put(stats.repartitionByRange(*KEYS, "snippet_id"), "doc_stats")
+    put(stats.groupBy(*KEYS).agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("sum_len")), "totals")
+
+
+def tables(snippets: DataFrame, profile: str = "plain", path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """postings, doc_stats and the corpus's figures (one row: n_docs, avgdl); of a written index, or made on the way."""
+    if path:
+        rows, stats, sums = (snippets.sparkSession.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "totals"))
+        corpus = sums.agg(F.sum("n_docs").alias("n_docs"), (F.sum("sum_len") / F.sum("n_docs")).alias("avgdl"))
+        return rows, stats.select("snippet_id", "doc_len"), corpus
+    stats = doc_stats(snippets)
+    return postings(snippets, profile), stats, stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))

@@ -125,13 +125,12 @@ def _bm25(j: int) -> Column:
     return F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
 
 
-def ranked(rows: DataFrame, stats: DataFrame, query: str, profile: str = "plain") -> DataFrame:
-    """snippet_id, rank of every document that matches. rows: postings; stats: doc_stats."""
+def ranked(rows: DataFrame, stats: DataFrame, corpus: DataFrame, query: str, profile: str = "plain") -> DataFrame:
+    """snippet_id, rank of every document that matches. The three tables are those of `index.tables`."""
     tree = match.parse(query, match.porter_tokens if profile == "porter" else None)
     tf, phrases = frequencies(rows, tree)
     # One row each of global figures: sums, so their size is that of the query.
     df = tf.agg(F.array(*[F.count_if(F.col("all")[j] > 0) for j in range(len(phrases))]).alias("df"))
-    corpus = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
     full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
 
     return full.where(_matches(tree, [0])).select("snippet_id", (-_score(tree, [0], _bm25)).alias("rank"))
@@ -141,22 +140,19 @@ def search(snippets: DataFrame, query: str, library_id: str | None = None, versi
     """The best snippets with their rank, best first. index_path: a written index; else postings are made on the way."""
     if sanitize:
         query = match.sanitized(query)
-    if index_path:
-        rows, stats = (snippets.sparkSession.read.parquet(f"{index_path}/{t}") for t in ("postings", "doc_stats"))
-    else:
-        rows, stats = index.postings(snippets, profile), index.doc_stats(snippets)
+    tables = index.tables(snippets, profile, index_path)
     own = snippets
     if library_id is not None:
         own = own.where(F.col("library_id") == library_id)
     if version is not None:
         own = own.where(F.col("library_version") == version)
-    found = ranked(rows, stats, query, profile).withColumnRenamed("snippet_id", "_id")
+    found = ranked(*tables, query, profile).withColumnRenamed("snippet_id", "_id")
     top = own.select("id").join(found, F.col("id") == F.col("_id")).select("id", "rank").orderBy("rank", "id").limit(limit)
     # Wide columns join after the cut to `limit` rows, so the row side is bounded.
     return own.join(F.broadcast(top), "id").orderBy("rank", "id")
 
 
-def ranked_batch(rows: DataFrame, stats: DataFrame, queries: dict[int, str], profile: str = "plain") -> DataFrame:
+def ranked_batch(rows: DataFrame, stats: DataFrame, corpus: DataFrame, queries: dict[int, str], profile: str = "plain") -> DataFrame:
     """query_id, snippet_id, rank of every match of each query; one pass over the postings for all."""
     trees = {q: match.parse(text, match.porter_tokens if profile == "porter" else None) for q, text in queries.items()}
     if not trees:
@@ -164,7 +160,6 @@ def ranked_batch(rows: DataFrame, stats: DataFrame, queries: dict[int, str], pro
     # One tree holds the leaves of all queries in their order; each query's expressions start at its first leaf.
     tf, phrases = frequencies(rows, functools.reduce(lambda a, b: match.Op("OR", a, b), trees.values()))
     df = tf.agg(F.array(*[F.count_if(F.col("all")[j] > 0) for j in range(len(phrases))]).alias("df"))
-    corpus = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
     full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
     found, at = [], 0
     for q, tree in trees.items():
@@ -178,15 +173,12 @@ def batch(snippets: DataFrame, queries: dict[int, str], library_id: str | None =
     """query_id, id, rank, place of the best snippets for each query."""
     if sanitize:
         queries = {q: match.sanitized(text) for q, text in queries.items()}
-    if index_path:
-        rows, stats = (snippets.sparkSession.read.parquet(f"{index_path}/{t}") for t in ("postings", "doc_stats"))
-    else:
-        rows, stats = index.postings(snippets, profile), index.doc_stats(snippets)
+    tables = index.tables(snippets, profile, index_path)
     own = snippets
     if library_id is not None:
         own = own.where(F.col("library_id") == library_id)
     if version is not None:
         own = own.where(F.col("library_version") == version)
-    found = own.select("id").join(ranked_batch(rows, stats, queries, profile).withColumnRenamed("snippet_id", "id"), "id")
+    found = own.select("id").join(ranked_batch(*tables, queries, profile).withColumnRenamed("snippet_id", "id"), "id")
     placed = found.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "id")))
     return placed.where(F.col("place") <= limit).select("query_id", "id", "rank", "place")

@@ -106,13 +106,43 @@ class RemoteEmbedder:
         return out
 
 
-EMBEDDERS = {"hashing": HashingEmbedder, "local": HashingEmbedder, "remote": RemoteEmbedder}
-
-
-def embedder(name: str = "hashing", **options) -> Embedder:
-    if name not in EMBEDDERS:
+# Public addresses and default models of services, by part and provider.
+SERVICES = {
+    ("embedding", "openai"): ("https://api.openai.com/v1/embeddings", "text-embedding-3-small"),
+    ("reranking", "cohere"): ("https://api.cohere.com/v2/rerank", "rerank-v3.5"),
+    ("reranking", "jina"): ("https://api.jina.ai/v1/rerank", "jina-reranker-v2-base-multilingual"),
+}
+
+
+def _service(part: str, name: str, url: str | None, model: str | None) -> tuple[str, str]:
+    known = SERVICES.get((part, name), (None, None))
+    if not (url or known[0]):
+        raise ValueError(f"{part} by {name} needs an address")
+    return url or known[0], model or known[1] or ""
+
+
+def embedder(name: str = "hashing", key: str | None = None, model: str | None = None, url: str | None = None, **options) -> Embedder:
+    """hashing or local, which need nothing; openai or remote, which need a key."""
+    if name in ("hashing", "local"):
+        return HashingEmbedder(**options)
+    if name not in ("openai", "remote"):
         raise ValueError(f"unknown embedding provider: {name}")
-    return EMBEDDERS[name](**options)
+    if not key:
+        raise ValueError(f"embedding by {name} needs an API key")
+    address, chosen = _service("embedding", name, url, model)
+    return RemoteEmbedder(address, key, chosen, **options)
+
+
+def reranker(name: str = "none", key: str | None = None, model: str | None = None, url: str | None = None, **options):
+    """none gives None; local the overlap of tokens; cohere, jina or remote a service, which needs a key."""
+    if name == "none":
+        return None
+    if name == "local":
+        return OverlapReranker()
+    if name not in ("cohere", "jina", "remote"):
+        raise ValueError(f"unknown reranking provider: {name}")
+    address, chosen = _service("reranking", name, url, model)
+    return RemoteReranker(address, key or "", chosen, **options)
 
 
 def embedding(text: Column, provider: Embedder) -> Column:

@@ -45,8 +45,11 @@ def candidates(snippets: DataFrame, query: list[float], library_id: str | None =
     return rows.where(hit).select("snippet_id").orderBy("snippet_id").limit(most)
 
 
-def scores(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh", most: int | None = None) -> DataFrame:
-    """id, score: the best `limit`. mode 'lsh' scores candidates only, unless there are none; 'exact' scores all."""
+def scores(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh", most: int | None = None, bands: DataFrame | None = None) -> DataFrame:
+    """id, score: the best `limit`. mode 'lsh' scores candidates only, unless there are none; 'exact' scores all.
+
+    bands: the stored band rows, which are narrow; the candidates' vectors are then fetched by id.
+    """
     own = scope(snippets, library_id, version).where("embedding is not null").select("id", "library_id", "library_version", "embedding")
     if not any(query) or not math.isfinite(sum(query)):
         return own.where("false").select("id", F.lit(0.0).alias("score"))
@@ -60,16 +63,19 @@ def scores(snippets: DataFrame, query: list[float], library_id: str | None = Non
         hit = F.lit(False)
         for c, v in zip(V.bands(F.col("embedding"), len(query)), values, strict=True):
             hit = hit | (c == v)
-        found = own.where(hit).orderBy("id").limit(most or max(limit * 200, 1000))
+        most = most or max(limit * 200, 1000)
+        found = own.where(hit).orderBy("id").limit(most)
+        if bands is not None:
+            found = candidates(snippets, query, library_id, version, most, bands).withColumnRenamed("snippet_id", "id")
         some = found.agg((F.count("*") > 0).alias("some"))
         own = own.join(found.select("id", F.lit(True).alias("hit")), "id", "left").crossJoin(F.broadcast(some)).where(F.col("hit") | ~F.col("some"))
     scored = own.select("id", score.alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def search(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh") -> DataFrame:
+def search(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh", bands: DataFrame | None = None) -> DataFrame:
     """Whole rows without their embedding, best first, with the score."""
-    top = scores(snippets, query, library_id, version, limit, mode)
+    top = scores(snippets, query, library_id, version, limit, mode, bands=bands)
     return snippets.drop("embedding").join(F.broadcast(top), "id").orderBy(F.desc("score"), "id")
 
 

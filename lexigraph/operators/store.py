@@ -1,7 +1,9 @@
 """The engine's own tables: ingest, removal, vectorising, splitting.
 
-libraries is small and rewritten under a new stamp that a pointer file names. snippets, bands, postings and doc_stats are
-partitioned by library and version: an ingest overwrites the partitions it touches and no others, so it can be repeated.
+libraries is small and rewritten under a new stamp; the newest stamp whose write was committed is the table, so a reader
+never finds none. snippets, bands, postings, doc_stats and totals are partitioned by library and version: an ingest
+overwrites the partitions it touches and no others, so it can be repeated, and what was there stays until the new rows are.
+Ids go up from a mark that removals leave as it is, so none is used twice. A written index follows ingests and removals.
 """
 
 from __future__ import annotations
@@ -29,7 +31,10 @@ def without(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: list[str], base: int, group: str) -> DataFrame:
-    """A column id from base + 1 on, in order of `by`; no task sees more than one group's rows (offsets come from counts)."""
+    """A column id from base + 1 on, in order of `by` inside each group.
+
+    No task sees more than one group's rows, but the one that adds up the groups' counts, a row a group.
+    """
     offsets = rows.groupBy(group).count().withColumn("_offset", F.coalesce(F.sum("count").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     return rows.join(offsets, group).withColumn("id", F.row_number().over(W.partitionBy(group).orderBy(*by)) + F.col("_offset") + base).drop("_offset")
 
@@ -45,8 +50,13 @@ class Store:
     def exists(self, table: str) -> bool:
         return self._fs.exists(self._p(table))
 
+    def _stamps(self) -> list[str]:
+        """Committed tables of libraries, oldest first."""
+        found = [s.getPath().getName() for s in self._fs.listStatus(self._p(""))] if self._fs.exists(self._p("")) else []
+        return sorted(n for n in found if n.startswith("libraries-") and self.exists(f"{n}/_SUCCESS"))
+
     def _pointer(self) -> str | None:
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0] if self._fs.exists(self._p("CURRENT")) else None
+        return (self._stamps() or [None])[-1]
 
     def libraries(self) -> DataFrame:
         now = self._pointer()
@@ -55,12 +65,23 @@ class Store:
     def _put_libraries(self, rows: DataFrame) -> None:
         old = self._pointer()
         stamp = f"libraries-{int(old.rsplit('-', 1)[1]) + 1 if old else 1:08d}"
-        rows.coalesce(1).write.parquet(f"{self.path}/{stamp}")
-        out = self._fs.create(self._p("CURRENT.new"), True)
-        out.write(bytearray(stamp.encode()))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{stamp}")
+        for name in self._stamps()[:-2]:  # the one before stays for readers that have begun
+            self._fs.delete(self._p(name), True)
+
+    def _mark(self) -> int:
+        """The highest id that was ever given."""
+        said = self.spark.read.text(f"{self.path}/IDS").first()[0] if self.exists("IDS") else 0
+        return max(int(said), self.snippets().agg(F.max("id")).first()[0] or 0)
+
+    def _set_mark(self, value: int) -> None:
+        out = self._fs.create(self._p("IDS"), True)
+        out.write(bytearray(str(value).encode()))
         out.close()
-        self._fs.delete(self._p("CURRENT"), False)
-        self._fs.rename(self._p("CURRENT.new"), self._p("CURRENT"))
+
+    def index_path(self, profile: str = "plain") -> str | None:
+        """The written index, if there is one."""
+        return f"{self.path}/index-{profile}" if self.exists(f"index-{profile}/postings") else None
 
     def snippets(self) -> DataFrame:
         return self.spark.read.schema(SNIPPETS).parquet(f"{self.path}/snippets") if self.exists("snippets") else self.spark.createDataFrame([], SNIPPETS)
@@ -86,17 +107,27 @@ class Store:
     def ingest(self, files: DataFrame, repo: str, version: str = "latest", title: str = "", description: str = "", provider: Embedder | None = None, **options) -> int:
         """Replaces a library's version. Returns the number of its snippets."""
         library_id = self.spark.range(1).select(T.library_id(F.lit(repo))).first()[0]
-        base = self.snippets().agg(F.max("id")).first()[0] or 0
+        base = self._mark()
         rows = numbered(self.chunks(files, library_id, version, **options), ["chunk_no"], base, "source_path")
         vector = embedding(F.col("content"), provider) if provider else F.lit(None).cast("array<float>")
         rows = rows.withColumn("embedding", vector).select(*[f.strip().split(" ")[0] for f in SNIPPETS.split(",")])
-        for table in ("snippets", "bands"):
-            self._drop(table, library_id, version)
         self._overwrite(rows, "snippets")
-        own = self.snippets().where((F.col("library_id") == library_id) & (F.col("library_version") == version))
-        if provider:
-            self._overwrite(semantic.with_bands(own, provider.dims), "bands")
+        own = self.snippets().where((F.col("library_id") == library_id) & (F.col("library_version") == version) & (F.col("id") > base))
         count = own.count()
+        if provider and count:
+            self._overwrite(semantic.with_bands(own, provider.dims), "bands")
+        else:
+            self._drop("bands", library_id, version)
+        for profile in ("plain", "porter"):
+            if path := self.index_path(profile):
+                for table in ("postings", "doc_stats", "totals") if not count else ():
+                    self._drop(f"index-{profile}/{table}", library_id, version)
+                if count:
+                    index.write(own, path, profile)
+        if count:
+            self._set_mark(base + count)
+        else:  # nothing to put in place of what was there
+            self._drop("snippets", library_id, version)
         old = self.libraries()
         seq = (old.agg(F.max("ingest_seq")).first()[0] or 0) + 1
         new = self.spark.range(1).select(
@@ -113,6 +144,10 @@ class Store:
         if n:
             self._put_libraries(without(old, "id", library_id))
         if cascade:
+            for profile in ("plain", "porter"):
+                for table in ("postings", "doc_stats", "totals") if self.index_path(profile) else ():
+                    self._drop(f"index-{profile}/{table}", library_id)
+            self._set_mark(self._mark())
             for table in ("snippets", "bands"):
                 self._drop(table, library_id)
         return n
@@ -137,6 +172,7 @@ class Store:
 
     def reindex(self, profile: str = "plain") -> None:
         """Rebuilds postings and document lengths from the snippets as they are."""
+        self._fs.delete(self._p(f"index-{profile}"), True)
         index.write(self.snippets(), f"{self.path}/index-{profile}", profile)
 
     def orphans(self) -> DataFrame:
@@ -144,7 +180,7 @@ class Store:
         keys = self.libraries().select(F.col("id").alias("library_id"), F.col("version").alias("library_version"))
         return self.snippets().select(*_KEYS).distinct().join(keys, list(_KEYS), "left_anti")
 
-    def split(self, out: str, domains: dict[str, list[str]] = catalog.DOMAINS) -> DataFrame:
+    def split(self, out: str, domains: dict[str, list[str]]) -> DataFrame:
         """Writes libraries and snippets by domain, all versions; returns the domains' figures."""
         domain = lambda c: T.domain_of(F.col(c), domains)
         self.libraries().withColumn("domain", domain("id")).where("domain is not null").write.mode("overwrite").partitionBy("domain").parquet(f"{out}/libraries")

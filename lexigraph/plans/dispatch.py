@@ -10,7 +10,7 @@ from ..operators import catalog, hybrid, keyword, providers, render, semantic
 MODES = ("keyword", "semantic", "hybrid")
 
 
-def rows(snippets: DataFrame, query: str, library_id: str, version: str, mode: str = "hybrid", top_k: int = 10, embedder: providers.Embedder | None = None, reranker=None, rerank: bool = False) -> DataFrame:
+def rows(snippets: DataFrame, query: str, library_id: str, version: str, mode: str = "hybrid", top_k: int = 10, embedder: providers.Embedder | None = None, reranker=None, rerank: bool = False, index_path: str | None = None, bands: DataFrame | None = None) -> DataFrame:
     """Result rows in order, with a column place. An unknown mode is hybrid; a query without embedding, or a leg that fails
     while it is planned, falls back to keywords, whose own errors are the caller's."""
     top_k = max(1, min(50, top_k))
@@ -21,13 +21,13 @@ def rows(snippets: DataFrame, query: str, library_id: str, version: str, mode: s
         try:
             vector = (embedder or providers.HashingEmbedder()).embed([query])[0]
             if vector is not None and mode == "semantic":
-                found, order = semantic.search(snippets, vector, library_id, version, want), [F.desc("score"), F.asc("id")]
+                found, order = semantic.search(snippets, vector, library_id, version, want, bands=bands), [F.desc("score"), F.asc("id")]
             elif vector is not None:
-                found, order = hybrid.search(snippets, query, vector, library_id=library_id, version=version, limit=want), [F.desc("score"), F.desc(F.col("fts").isNotNull()), F.asc("id")]
+                found, order = hybrid.search(snippets, query, vector, library_id=library_id, version=version, limit=want, index_path=index_path, bands=bands), [F.desc("score"), F.desc(F.col("fts").isNotNull()), F.asc("id")]
         except Exception:  # noqa: BLE001  whatever fails here, keywords may still answer
             found = None
     if found is None:
-        found, order = keyword.search(snippets, query, library_id, version, want), [F.asc("rank"), F.asc("id")]
+        found, order = keyword.search(snippets, query, library_id, version, want, index_path=index_path), [F.asc("rank"), F.asc("id")]
     ranked = providers.rerank(found, query, order, reranker if rerank else None, top_k)
     return ranked.withColumnRenamed("original_index", "place") if not rerank or reranker is None else ranked.withColumn("place", F.row_number().over(_by_score()) - 1).drop("original_index")
 

@@ -156,15 +156,8 @@ def semantic_topk_exact(spark, path):
     return semantic.scores(corpus.snippets(spark, path), _vector(spark, path), limit=10, mode="exact").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"with {S}, b as (select vec_id as query_id, embedding as q from embeddings where vec_id in (0, 100, 200, 300)), c as (select query_id, id, {_cos('q', 'embedding')} as score from s, b where embedding is not null), r as (select *, row_number() over (partition by query_id order by score desc, id) as place from c) select query_id, id, round(score, 6) as score, cast(place as int) as place from r where place <= 5")
-def semantic_batch_topk(spark, path):
-    rows = spark.read.parquet(f"{path}/embeddings.parquet").where("vec_id in (0, 100, 200, 300)").collect()
-    return semantic.batch(corpus.snippets(spark, path), {r.vec_id: [float(x) for x in r.embedding] for r in rows}, 5).select("query_id", "id", F.round("score", 6).alias("score"), "place")
-
-
 @query(f"with {S}, b as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0), c as (select query_id, id, {_cos('q', 'embedding')} as score from s, b where embedding is not null), r as (select *, row_number() over (partition by query_id order by score desc, id) as place from c) select query_id, id, round(score, 6) as score, cast(place as int) as place from r where place <= 5")
-def semantic_batch_all(spark, path):
-    """A hundredth of the vectors as queries, whose number grows with the table."""
+def semantic_batch_topk(spark, path):
     asked = spark.read.parquet(f"{path}/embeddings.parquet").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return semantic.batch(corpus.snippets(spark, path), asked, 5).select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
@@ -362,10 +355,9 @@ def render_snippets(spark, path):
     return found.select("id", render.snippet(found.columns).alias("text"))
 
 
-@query(f"with {L}, {_GROUPED} select id, '- Name: ' || title || chr(10) || '- Library ID: ' || id || chr(10) || '- Description: ' || description || chr(10) || '- Code Snippets: ' || total_snippets || chr(10) || '- Source Reputation: ' || case when trust_score >= 7 then 'High' when trust_score >= 4 then 'Medium' else 'Low' end || chr(10) || '- Versions: ' || versions as text from v")
+@query(f"with {L}, {_GROUPED} select id, '- Name: ' || title || chr(10) || '- Library ID: ' || id || chr(10) || '- Description: ' || description || chr(10) || '- Code Snippets: ' || total_snippets || chr(10) || '- Source Reputation: ' || case when trust_score >= 7 then 'High' when trust_score >= 4 then 'Medium' else 'Low' end || chr(10) || '- Benchmark Score: ' || regexp_replace(cast(benchmark_score as varchar), '\\.0$', '') || chr(10) || '- Versions: ' || versions as text from v")
 def render_libraries(spark, path):
-    text = F.regexp_replace(render.library(), r"- Benchmark Score: [^\n]*\n", "")
-    return catalog.grouped(corpus.libraries(spark, path)).select("id", text.alias("text"))
+    return catalog.grouped(corpus.libraries(spark, path)).select("id", render.library().alias("text"))
 
 
 # --- chunking, parsing, maintenance ---

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +38,10 @@ def resolve(root: str, docs_path: str | None = None) -> Scan:
 
 
 def files(spark: SparkSession, scan: Scan) -> DataFrame:
-    """path (from the tree's root, with forward slashes) and text of each file. A missing folder gives no rows."""
+    """path (from the tree's root, with forward slashes) and text of each file, bytes that aren't UTF-8 replaced.
+
+    A missing folder gives no rows.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(scan.folder)
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "path string, text string")
@@ -45,7 +49,7 @@ def files(spark: SparkSession, scan: Scan) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(scan.folder)
     base = F.lit(scan.folder.rstrip("/").split("://")[-1].removeprefix("file:") + "/")
     inner = F.element_at(F.split(F.col("path"), base, 2), -1)
-    out = rows.select(F.concat_ws("/", *([F.lit(scan.prefix)] if scan.prefix else []), inner).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    out = rows.select(F.concat_ws("/", *([F.lit(scan.prefix)] if scan.prefix else []), inner).alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     folder = scan.pattern.rsplit("/", 1)[0] if "/" in scan.pattern else ""
     if folder and folder.replace("*", ""):  # folders of a pattern: ** any depth, * one level
         regex = "^" + folder.replace(".", r"\.").replace("**", "\0").replace("*", "[^/]*").replace("\0", ".*").replace("?", "[^/]") + "/"
@@ -55,3 +59,11 @@ def files(spark: SparkSession, scan: Scan) -> DataFrame:
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     return files(spark, Scan(folder, "*.md"))
+
+
+def clone(url: str, into: str, version: str | None = None) -> str:
+    """Clones a repository (one commit of a branch or tag) into a folder that driver and executors share; git's own error is raised."""
+    done = subprocess.run(["git", "clone", "--quiet", "--depth", "1", *(["--branch", version] if version else []), "--", url, into], capture_output=True, text=True)
+    if done.returncode:
+        raise RuntimeError(f"git clone failed: {done.stderr.strip()}")
+    return into

@@ -15,18 +15,18 @@ from lexigraph.plans import dispatch
 from lexigraph.sources import config, docs, presets
 
 LIBRARIES = [
-    ("/vercel/next.js", "latest", "Next.js", "d", 500, 9.5, 95.0, 1), ("/vercel/next.js", "v14.0.0", "Next.js v14", "d", 450, 9.5, 95.0, 2), ("/facebook/react", "latest", "React", "d", 800, 10.0, 98.0, 3),
-    ("/microsoft/typescript", "latest", "TypeScript", "d", 300, 8.0, 90.0, 4), ("/mongodb/docs", "latest", "MongoDB", "d", 200, 7.0, 85.0, 5),
+    ("/orbit/kiln", "latest", "Kiln.rs", "d", 120, 9.0, 91.0, 1), ("/orbit/kiln", "v3.1", "Kiln 3.1", "d", 110, 9.0, 91.0, 2), ("/harbor/sail", "latest", "Sail", "d", 640, 9.8, 97.0, 3),
+    ("/quarry/slate", "latest", "Slate", "d", 75, 6.5, 80.0, 4), ("/meadow/barn", "latest", "Barn", "d", 40, 5.0, 60.0, 5),
 ]
 SNIPPETS = [
-    (1, "/facebook/react", "latest", "useState Hook", "The useState hook lets you add state to functional components", "docs/hooks.md", "", 50, "Hooks > State", [1.0, 0.0, 0.0]),
-    (2, "/facebook/react", "latest", "useEffect Hook", "The useEffect hook lets you perform side effects in functional components", "docs/hooks.md", "", 60, "Hooks > Effects", [0.9, 0.1, 0.0]),
-    (3, "/facebook/react", "latest", "Component Basics", "React components are reusable pieces of UI", "docs/components.md", "", 40, "Components > Basics", [0.0, 1.0, 0.0]),
-    (4, "/facebook/react", "latest", "JSX Introduction", "JSX is a syntax extension", "docs/jsx.md", "", 40, "JSX", [0.0, 0.0, 1.0]),
-    (5, "/facebook/react", "latest", "No Embedding", "Nothing here", "docs/no.md", "", 40, "", None),
-    (6, "/mongodb/docs", "latest", "MongoDB Query", "How to query MongoDB collections", "docs/query.md", "", 70, "Querying", [1.0, 0.0, 0.0]),
+    (1, "/harbor/sail", "latest", "hoistMast Rope", "The hoistMast rope raises a mast in windy weather", "docs/ropes.md", "", 50, "Ropes > Mast", [1.0, 0.0, 0.0]),
+    (2, "/harbor/sail", "latest", "lowerMast Rope", "The lowerMast rope lets you undo knots in windy weather", "docs/ropes.md", "", 60, "Ropes > Lowering", [0.9, 0.1, 0.0]),
+    (3, "/harbor/sail", "latest", "Weather Basics", "Sail weather is made of wind and water", "docs/weather.md", "", 40, "Weather > Basics", [0.0, 1.0, 0.0]),
+    (4, "/harbor/sail", "latest", "Flags Introduction", "Flags are a kind of signal", "docs/flags.md", "", 40, "Flags", [0.0, 0.0, 1.0]),
+    (5, "/harbor/sail", "latest", "Without Vector", "Empty here", "docs/none.md", "", 40, "", None),
+    (6, "/meadow/barn", "latest", "Barn Doors", "How to open barn doors", "docs/doors.md", "", 70, "Doors", [1.0, 0.0, 0.0]),
 ]
-REACT = {"library_id": "/facebook/react", "version": "latest"}
+SAIL = {"library_id": "/harbor/sail", "version": "latest"}
 
 
 @pytest.fixture(scope="module")
@@ -44,37 +44,37 @@ def ids(df):
 
 
 def test_catalog(libraries):
-    assert ids(catalog.search(libraries, "REACT")) == ["/facebook/react"]
-    assert len(ids(catalog.search(libraries, "next"))) == 2
+    assert ids(catalog.search(libraries, "SAIL")) == ["/harbor/sail"]
+    assert len(ids(catalog.search(libraries, "kiln"))) == 2
     assert ids(catalog.search(libraries, "100%", escape=True)) == []
-    assert catalog.resolve(libraries, "/vercel/next.js") == ("/vercel/next.js", "v14.0.0")
+    assert catalog.resolve(libraries, "/orbit/kiln") == ("/orbit/kiln", "v3.1")
     assert catalog.resolve(libraries, "/a/b/v1") == ("/a/b", "v1")
     assert catalog.resolve(libraries, "/a/b") == ("/a/b", "latest")
     assert dispatch.query_docs(libraries, libraries, "x", "/only").startswith("Invalid library ID format")
-    text = dispatch.resolve_library_id(libraries, "next")
-    assert "- Versions: latest, v14.0.0" in text and "- Benchmark Score: 95\n" in text
+    text = dispatch.resolve_library_id(libraries, "kiln")
+    assert "- Versions: latest, v3.1" in text and "- Benchmark Score: 91\n" in text
     assert dispatch.resolve_library_id(libraries, "nothing") == render.NO_LIBRARIES
 
 
 def test_keyword(snippets):
-    assert ids(keyword.search(snippets, "useState hook", **REACT)) == [1]
-    assert ids(keyword.search(snippets, "query", **REACT)) == []
-    assert ids(keyword.search(snippets, "What's a hook?", sanitize=True, **REACT)) == []
-    assert ids(keyword.search(snippets, "hook", limit=1, **REACT)) == [1]
+    assert ids(keyword.search(snippets, "hoistMast rope", **SAIL)) == [1]
+    assert ids(keyword.search(snippets, "doors", **SAIL)) == []
+    assert ids(keyword.search(snippets, "What's a rope?", sanitize=True, **SAIL)) == []
+    assert ids(keyword.search(snippets, "rope", limit=1, **SAIL)) == [1]
 
 
 def test_written_index_gives_the_same(spark, snippets, tmp_path):
     from lexigraph.operators import index
 
     index.write(snippets, str(tmp_path))
-    a = keyword.search(snippets, "hook OR components", **REACT)
-    b = keyword.search(snippets, "hook OR components", index_path=str(tmp_path), **REACT)
+    a = keyword.search(snippets, "rope OR weather", **SAIL)
+    b = keyword.search(snippets, "rope OR weather", index_path=str(tmp_path), **SAIL)
     assert [(r.id, round(r["rank"], 9)) for r in a.collect()] == [(r.id, round(r["rank"], 9)) for r in b.collect()]
 
 
 def test_semantic(snippets):
-    assert ids(semantic.search(snippets, [1.0, 0.0, 0.0], limit=2, **REACT)) == [1, 2]
-    assert ids(semantic.search(snippets, [0.0, 0.0, 1.0], limit=1, mode="exact", **REACT)) == [4]
+    assert ids(semantic.search(snippets, [1.0, 0.0, 0.0], limit=2, **SAIL)) == [1, 2]
+    assert ids(semantic.search(snippets, [0.0, 0.0, 1.0], limit=1, mode="exact", **SAIL)) == [4]
     assert "embedding" not in semantic.search(snippets, [1.0, 0.0, 0.0]).columns
     assert ids(semantic.search(snippets, [0.0, 0.0, 0.0])) == []
     assert ids(semantic.search(snippets, [1.0, 0.0])) == []  # another size scores null
@@ -95,43 +95,43 @@ def test_semantic_batch_of_a_table(spark, snippets):
 def test_semantic_batch_queries_grow_with_the_table(spark):
     from lexigraph import queries
 
-    got = queries.QUERIES["semantic_batch_all"](spark, "/root/testdata/sf0.01").collect()
+    got = queries.QUERIES["semantic_batch_topk"](spark, "/root/testdata/sf0.01").collect()
     assert {r.query_id for r in got} == {0, 100, 200, 300, 400} and len(got) == 25
 
 
 def test_hybrid(snippets):
-    found = hybrid.search(snippets, "hook", [1.0, 0.0, 0.0], **REACT).collect()
+    found = hybrid.search(snippets, "rope", [1.0, 0.0, 0.0], **SAIL).collect()
     assert found[0].id == 1 and len({r.id for r in found}) == len(found) and all(0 <= r.score <= 1 for r in found)
-    assert ids(hybrid.search(snippets, "nothing", [0.0, 0.0, 1.0], limit=1, **REACT)) == [4]
-    assert set(ids(hybrid.search(snippets, "hook", None, **REACT))) == {1, 2}
+    assert ids(hybrid.search(snippets, "nothing", [0.0, 0.0, 1.0], limit=1, **SAIL)) == [4]
+    assert set(ids(hybrid.search(snippets, "rope", None, **SAIL))) == {1, 2}
 
 
 def test_batches_give_what_single_queries_give(snippets):
-    texts = {3: "hook OR components", 4: "NEAR(perform effects, 3) OR syntax", 5: "components NOT hook", 6: "nothing"}
-    for options in ({}, REACT):
+    texts = {3: "rope OR weather", 4: "NEAR(undo knots, 3) OR signal", 5: "weather NOT rope", 6: "nothing"}
+    for options in ({}, SAIL):
         got = {}
         for r in keyword.batch(snippets, texts, limit=2, **options).collect():
             got.setdefault(r.query_id, []).append((r.place, r.id, round(r["rank"], 9)))
         for q, text in texts.items():
             assert sorted(got.get(q, [])) == [(i + 1, r.id, round(r["rank"], 9)) for i, r in enumerate(keyword.search(snippets, text, limit=2, **options).collect())]
-    asked = {1: ("hook", [1.0, 0.0, 0.0]), 2: ("nothing", [0.0, 0.0, 1.0]), 3: ("hook OR components", None), 4: ("JSX", [0.0, 0.0, 0.0])}
+    asked = {1: ("rope", [1.0, 0.0, 0.0]), 2: ("nothing", [0.0, 0.0, 1.0]), 3: ("rope OR weather", None), 4: ("flags", [0.0, 0.0, 0.0])}
     for mode in ("lsh", "exact"):
         got = {}
-        for r in hybrid.batch(snippets, asked, limit=3, mode=mode, **REACT).collect():
+        for r in hybrid.batch(snippets, asked, limit=3, mode=mode, **SAIL).collect():
             got.setdefault(r.query_id, []).append((r.place, r.id, round(r.score, 9)))
         for q, (text, vector) in asked.items():
-            assert sorted(got.get(q, [])) == [(i + 1, r.id, round(r.score, 9)) for i, r in enumerate(hybrid.fused(snippets, text, vector, limit=3, mode=mode, **REACT).collect())]
+            assert sorted(got.get(q, [])) == [(i + 1, r.id, round(r.score, 9)) for i, r in enumerate(hybrid.fused(snippets, text, vector, limit=3, mode=mode, **SAIL).collect())]
 
 
 def test_dispatch(snippets, libraries):
-    text = dispatch.query_docs(snippets, libraries, "useState", "/facebook/react", mode="keyword")
-    assert text.startswith("## useState Hook\n**Breadcrumb:** Hooks > State\n**Source:** docs/hooks.md\nThe useState")
-    assert dispatch.query_docs(snippets, libraries, "zzz", "/facebook/react", mode="keyword") == render.NO_SNIPPETS
+    text = dispatch.query_docs(snippets, libraries, "hoistMast", "/harbor/sail", mode="keyword")
+    assert text.startswith("## hoistMast Rope\n**Breadcrumb:** Ropes > Mast\n**Source:** docs/ropes.md\nThe hoistMast")
+    assert dispatch.query_docs(snippets, libraries, "zzz", "/harbor/sail", mode="keyword") == render.NO_SNIPPETS
     fake = type("E", (), {"embed": lambda self, t: [[1.0, 0.0, 0.0]]})()
-    got = dispatch.rows(snippets, "state", "/facebook/react", "latest", "hybrid", 3, fake, providers.OverlapReranker(), True)
+    got = dispatch.rows(snippets, "mast", "/harbor/sail", "latest", "hybrid", 3, fake, providers.OverlapReranker(), True)
     assert got.first().id == 1
     with pytest.raises(Exception, match="syntax error"):
-        dispatch.query_docs(snippets, libraries, "how?", "/facebook/react", mode="hybrid")
+        dispatch.query_docs(snippets, libraries, "how?", "/harbor/sail", mode="hybrid")
 
 
 def test_rerank(snippets):
@@ -238,14 +238,94 @@ def test_store(spark, tmp_path):
     assert store.vectorize(embedder) == 4 and store.vectorize(embedder) == 0 and store.vectorize(embedder, force=True) == 4
     assert store.bands().count() == 4
     store.reindex()
-    assert keyword.search(store.snippets(), "routing", index_path=f"{store.path}/index-plain").count() == 1
+    search = lambda text: keyword.search(store.snippets(), text, index_path=store.index_path())
+    assert search("routing").count() == 1
     assert store.ingest(files.where("path = 'README.md'"), repo, "v2") == 1 and store.snippets().count() == 5
+    assert {r.library_version for r in search("readme").collect()} == {"latest", "v2"}  # the index follows
     store.split(str(tmp_path / "split"), {"all": ["test"]})
     assert spark.read.parquet(str(tmp_path / "split" / "libraries")).count() == 2
+    last = store.snippets().agg(F.max("id")).first()[0]
+    assert store.ingest(files.where("false"), repo, "v2") == 0 and store.snippets().count() == 4 and search("readme").count() == 1
     assert store.remove("/test/library") == 2 and store.snippets().count() == 0 and store.libraries().count() == 0
+    postings = spark.read.schema("term string").parquet(f"{store.index_path()}/postings") if list((tmp_path / "store" / "index-plain" / "postings").glob("library_id=*")) else None
+    assert postings is None or postings.count() == 0
+    assert store.ingest(files, repo) == 4 and store.snippets().agg(F.min("id")).first()[0] > last  # no id is used twice
+    assert store.remove("/test/library") == 1
     assert store.remove("/test/library") == 0 and store.orphans().count() == 0
 
 
+def test_hybrid_over_what_is_written(spark, snippets, tmp_path):
+    """The written index and the stored bands give what the snippets themselves give, with few scans."""
+    from lexigraph.operators import index
+
+    index.write(snippets, str(tmp_path / "index"))
+    semantic.with_bands(snippets, 3).write.parquet(str(tmp_path / "bands"))
+    bands = spark.read.parquet(str(tmp_path / "bands"))
+    for vector in ([1.0, 0.0, 0.0], [-1.0, 0.5, -2.0], None):
+        a = hybrid.fused(snippets, "rope OR weather", vector, **SAIL)
+        b = hybrid.fused(snippets, "rope OR weather", vector, **SAIL, index_path=str(tmp_path / "index"), bands=bands)
+        assert [(r.id, round(r.score, 9)) for r in a.collect()] == [(r.id, round(r.score, 9)) for r in b.collect()]
+    plan = keyword.ranked(*index.tables(snippets, "plain", str(tmp_path / "index")), "rope OR weather")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,rope)" in plan or "In(term, [rope,weather])" in plan
+
+
+def test_names_of_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# Caf\xe9\n\ntext\n")
+    assert docs.files(spark, docs.resolve(str(tmp_path))).first().text == "# Caf\ufffd\n\ntext\n"
+
+
+def test_render_other_forms(spark):
+    row = spark.createDataFrame([("/a/b", "T", "D", -1, 7.5, 0.0, ["v1", "v2"], "", "x")], "id string, title string, description string, total_snippets long, trust_score double, benchmark_score double, versions array<string>, breadcrumb string, content string")
+    assert row.select(render.catalog_entry()).first()[0] == "- Title: T\n- Library ID: /a/b\n- Description: D\n- Source Reputation: High\n- Versions: v1, v2"
+    assert row.select(render.documentation()).first()[0] == "## T\nx"
+
+
+def test_band_indices():
+    """The places of the published generator, as the index format fixes them."""
+    assert tuple(V.band_indices(64)[:8]) == (1, 42, 49, 47, 6, 32, 9, 23) and tuple(V.band_indices(384)[:4]) == (8, 255, 299, 284)
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    import subprocess
+
+    from lexigraph import cli
+
+    monkeypatch.chdir(tmp_path)
+    source = tmp_path / "source"
+    (source / "docs").mkdir(parents=True)
+    (source / "docs" / "a.md").write_text("# Masts\n\nHow to raise masts\n")
+    git = lambda *a: subprocess.run(["git", "-C", str(source), "-c", "user.name=x", "-c", "user.email=x@example.com", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    git("add", ".")
+    git("commit", "-q", "-m", "one")
+    git("tag", "v1")
+    do = lambda *a: cli.run(spark, cli.parser().parse_args(["--store", str(tmp_path / "store"), *a]))
+    url = "https://github.com/harbor/masts"
+    assert do("ingest", url, "--local-path", str(source)) == "1 snippets"
+    assert docs.clone(f"file://{source}", str(tmp_path / "tree"), "v1") and (tmp_path / "tree" / "docs" / "a.md").exists()
+    with pytest.raises(RuntimeError, match="git clone failed"):
+        docs.clone(f"file://{source}", str(tmp_path / "other"), "v9")
+    registry = str(tmp_path / "presets.json")
+    (tmp_path / "trees" / "masts").mkdir(parents=True)
+    (tmp_path / "trees" / "masts" / "b.md").write_text("# Ropes\n\nKnots\n")
+    (tmp_path / "presets.json").write_text(json.dumps({"masts": {"repo": url, "docsPath": "", "title": "Masts", "description": "d", "versions": ["v2", "v1"]}, "absent": {"repo": "file:///nowhere/at/all", "docsPath": "", "title": "", "description": ""}}))
+    assert do("preset", registry) == "absent\nmasts" and do("preset", registry, "--name", "nothing") == "no preset named nothing"
+    assert do("preset", registry, "--name", "masts", "--trees", str(tmp_path / "trees")) == "masts: 1 snippets"
+    with pytest.raises(RuntimeError, match="1 of 2 presets failed: absent"):
+        do("preset-all", registry, "--trees", str(tmp_path / "trees"))
+    assert "/harbor/masts" in do("list") and do("reindex") == "done"
+    assert "Knots" in do("query", "/harbor/masts/v2", "knots") and "Knots" in do("--reranking-provider", "local", "query", "/harbor/masts/v2", "knots", "--rerank")
+    assert "- Name: " in do("resolve", "masts") and do("vectorize") == "0 embedded"
+    assert "files" in do("preview", "--local-path", str(source))
+    (tmp_path / "config.json").write_text(json.dumps({"embedding": {"provider": "openai"}}))
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="API key"):
+        do("vectorize", "--force")
+    (tmp_path / "config.json").unlink()
+    (tmp_path / "domains.json").write_text(json.dumps({"all": ["harbor"]}))
+    assert do("split", str(tmp_path / "split"), "--domains", "domains.json") == "done"
+    assert do("remove", "/harbor/masts") == "removed 2" and do("remove", "/harbor/masts") == "not found" and do("list") == "No libraries found."
+
+
 def test_stream(spark, tmp_path):
     from lexigraph.streaming import ingest
 
@@ -269,6 +349,17 @@ def test_providers():
         providers.post("u", {}, "k", send=busy, sleep=waits.append)
     assert len(calls) == 3 and waits == [1, 2]
     assert providers.post("u", {}, "k", send=lambda *a: (400, "no")) is None
+    assert providers.reranker("none") is None and isinstance(providers.reranker("local"), providers.OverlapReranker)
+    for name in ("cohere", "jina"):
+        said = []
+        r = providers.reranker(name, key="k", send=lambda url, body, key: (said.append(url) or (200, {"results": [{"index": 1, "relevance_score": 0.9}, {"index": 0, "relevance_score": 0.1}]})))  # noqa: B023
+        assert r.score("q", ["a", "b"]) == [0.1, 0.9] and name in said[0]
+        with pytest.raises(ValueError, match="API key"):
+            providers.reranker(name)
+    assert providers.embedder("openai", key="k").model and isinstance(providers.embedder("local"), providers.HashingEmbedder)
+    for make, name in ((providers.embedder, "openai"), (providers.embedder, "nope"), (providers.reranker, "nope"), (providers.embedder, "remote")):
+        with pytest.raises(ValueError):
+            make(name)
     e = providers.HashingEmbedder(8)
     assert e.embed([" ", None, "a b"])[:2] == [None, None] and e.embed(["a b"]) == e.embed([" a b "])
 
