@@ -32,16 +32,57 @@ _HTML_ALONE = re.compile(r"^ {0,3}</?[A-Za-z][^<>]*>\s*$")
 _DELIMITER_ROW = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 
 
+_TICKS = re.compile("`+")
+#: Marks of emphasis: what opens and what closes a stretch.
+_MARKS = [(re.compile(rf"(?<!\\){m}(?=\S)"), re.compile(rf"(?<=[^\s\\]){m}")) for m in (r"\*\*", "__", "~~", r"\*")]
+_UNDERSCORE = re.compile(r"(?<![\w\\])_(?=\S)"), re.compile(r"(?<=\S)_(?!\w)")
+
+
+def _without_code(text: str) -> str:
+    """Without code spans: from a run of ticks to the next run as long. Each run is looked at once."""
+    runs, waiting, partner = [m.span() for m in _TICKS.finditer(text)], {}, {}
+    for i in range(len(runs) - 1, -1, -1):
+        size = runs[i][1] - runs[i][0]
+        partner[i] = waiting.get(size)
+        waiting[size] = i
+    out, at, i = [], 0, 0
+    while i < len(runs):
+        if partner[i] is None:
+            i += 1
+            continue
+        out.append(text[at : runs[i][0]])
+        at = runs[partner[i]][1]
+        i = partner[i] + 1
+    return "".join(out) + text[at:]
+
+
+def _unmarked(text: str, opens: re.Pattern, closes: re.Pattern) -> str:
+    """Without pairs of marks. A mark that nothing closes ends the search, for nothing closes those after it either."""
+    out, at = [], 0
+    while (m := opens.search(text, at)) and (c := closes.search(text, m.end() + 1)):
+        out += [text[at : m.start()], text[m.end() : c.start()]]
+        at = c.end()
+    return "".join(out) + text[at:]
+
+
+def _without_comments(text: str) -> str:
+    out, at = [], 0
+    while (i := text.find("<!--", at)) >= 0 and (j := text.find("-->", i + 4)) >= 0:
+        out.append(text[at:i])
+        at = j + 3
+    return "".join(out) + text[at:]
+
+
 def inline_text(text: str) -> str:
     """Text of a paragraph or heading without marks, code, images and tags."""
-    text = re.sub(r"(?<!`)(`+)(?!`)(.*?)(?<!`)\1(?!`)", "", text, flags=re.S)
+    if "`" in text:
+        text = _without_code(text)
     text = re.sub(r"!\[[^\]]*\]\([^)]*\)|!\[[^\]]*\]\[[^\]]*\]", "", text)
     text = re.sub(r"\[([^\]]*)\]\((?:[^()]|\([^)]*\))*\)|\[([^\]]+)\]\[[^\]]*\]", lambda m: m[1] or m[2] or "", text)
     text = re.sub(r"<((?:https?|mailto):[^>\s]+)>", r"\1", text)
-    text = re.sub(r"<!--.*?-->|</?[A-Za-z][^<>]*>", "", text, flags=re.S)
-    for mark in (r"\*\*", "__", "~~", r"\*"):
-        text = re.sub(rf"(?<!\\){mark}(?=\S)(.+?)(?<=[^\s\\]){mark}", r"\1", text, flags=re.S)
-    text = re.sub(r"(?<![\w\\])_(?=\S)(.+?)(?<=\S)_(?!\w)", r"\1", text, flags=re.S)
+    text = re.sub(r"</?[A-Za-z][^<>]*>", "", _without_comments(text))
+    for opens, closes in (*_MARKS, _UNDERSCORE):
+        text = _unmarked(text, opens, closes)
     text = re.sub(r"(?: {2,}|\\)\n", "", text)
     text = re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", text)
     import html
@@ -218,7 +259,8 @@ def sections(text: Column, parser: Column, fix_overlines: bool = False) -> Colum
         for texts, kinds in parts:
             yield pd.Series([rst(t or "", fix_overlines) if k == "rst" else markdown(t or "") for t, k in zip(texts, kinds, strict=True)])
 
-    return parse(text, parser)
+    # So marked, the plan keeps it where it stands: it isn't copied into what uses its result.
+    return parse.asNondeterministic()(text, parser)
 
 
 def parsed(files: DataFrame, text: str = "text", path: str = "path", fix_overlines: bool = False) -> DataFrame:

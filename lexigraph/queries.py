@@ -432,6 +432,64 @@ def parse_rst_sections(spark, path):
     return parsing.parsed(files).select("doc_id", F.size("sections").alias("n_sections"), F.get("sections", F.lit(0))["heading"].alias("heading"), F.length(F.get("sections", F.lit(0))["content"]).alias("size"))
 
 
+# Markdown and RST that are put together from the plain words of each text, 30 a part, so that SQL knows what they say.
+_PARTS = (
+    "p as (select doc_id, list_transform(range(0, cast(ceil(len(w) / 30) as bigint)), lambda i: array_to_string(w[i * 30 + 1 : i * 30 + 30], ' ')) as parts"
+    " from (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')) as w from documents)),"
+    " s as (select doc_id, 0 as k, '' as content from p union all select doc_id, cast(unnest(range(1, len(parts) + 1)) as int) as k, unnest(parts) as content from p)"
+)
+
+
+def _built(spark: SparkSession, path: str, part, head, ext: str) -> DataFrame:
+    """path, doc_id, text: head, then part(i, words) for each 30 plain words of a text."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w.rlike("^[a-zA-Z]+$"))
+
+    def all_parts(ws):
+        at = F.when(F.size(ws) > 0, F.sequence(F.lit(1), F.ceil(F.size(ws) / 30).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(at, lambda i: part(i.cast("string"), F.array_join(F.slice(ws, (i - 1) * 30 + 1, F.lit(30)), " "))), "")
+
+    # A one-element array makes of the words a variable, so that they are found once a text.
+    text = F.concat(head, F.transform(F.array(words), all_parts)[0])
+    return spark.read.parquet(f"{path}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), "doc_id", text.alias("text"))
+
+
+def _markdown(spark: SparkSession, path: str) -> DataFrame:
+    part = lambda i, words: F.concat(F.lit("## Part "), i, F.lit("\n\n*Of* [this]("), i, F.lit("): "), words, F.lit("\n\n- item\n\n```py\n# "), i, F.lit("\n```\n\n"))
+    return _built(spark, path, part, F.concat(F.lit("---\na: b\n---\nDoc "), F.col("doc_id").cast("string"), F.lit("\n===\n\n")), ".md")
+
+
+def _rst(spark: SparkSession, path: str) -> DataFrame:
+    part = lambda i, words: F.concat(F.lit("Part "), i, F.lit("\n-------\n\n:doc:`Of this<a>`\n"), words, F.lit("\n\n.. code-block:: py\n\n   # "), i, F.lit("\n\n"))
+    return _built(spark, path, part, F.concat(F.lit("Doc "), F.col("doc_id").cast("string"), F.lit("\n=======\n\n")), ".rst")
+
+
+def _said(files: DataFrame) -> DataFrame:
+    rows = parsing.parsed(files).select("doc_id", F.posexplode("sections").alias("k", "s"))
+    code = F.get("s.code_blocks", F.lit(0))
+    return rows.select("doc_id", "k", F.col("s.heading").alias("heading"), F.col("s.depth").cast("int").alias("depth"), F.md5(F.col("s.content")).alias("digest"), code["language"].alias("language"), code["value"].alias("code"))
+
+
+_SECTIONS = "select doc_id, k, case when k = 0 then 'Doc ' || doc_id else 'Part ' || k end as heading, case when k = 0 then 1 else 2 end as depth, md5(case when k = 0 then '' else '{0}' || content end) as digest, case when k > 0 then 'py' end as language, case when k > 0 then '# ' || k end as code from s"
+
+
+@query(f"with {_PARTS} {_SECTIONS.format('Of this: ')}")
+def markdown_sections(spark, path):
+    return _said(_markdown(spark, path))
+
+
+@query(f"with {_PARTS} {_SECTIONS.format('Of this ')}")
+def rst_sections(spark, path):
+    return _said(_rst(spark, path))
+
+
+@query(f"with {_PARTS} select doc_id, 'Part ' || k as title, 'Doc ' || doc_id || ' > Part ' || k as breadcrumb, md5('Of this: ' || content) as digest, cast(ceil(length('Of this: ' || content) / 4) as int) as token_count, 'py' as language from s where k > 0")
+def chunked_sections(spark, path):
+    """The first section is given a word, for one without text makes no chunk and no breadcrumb; none is long enough to be cut."""
+    text = F.regexp_replace("text", r"(?s)\A(---.*?===\n\n)", "$1word\n\n")
+    chunks = chunking.chunked(parsing.parsed(_markdown(spark, path).withColumn("text", text)).select("doc_id", "sections"), most=1_000_000)
+    return chunks.where("title like 'Part %'").select("doc_id", "title", "breadcrumb", F.md5("content").alias("digest"), F.col("token_count").cast("int").alias("token_count"), "language")
+
+
 @query(f"with {L} select id, version, case when version = 'en' then 0 else total_snippets end as total_snippets, case when version = 'en' then 5.0 else trust_score end as trust_score from l")
 def reingest_upsert(spark, path):
     old = corpus.libraries(spark, path)
