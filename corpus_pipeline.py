@@ -1,5 +1,12 @@
 """Five stages that make a training corpus of `documents`: quality rules, line dedup, one of each near-duplicate group,
-mixing to target weights, and token ids."""
+mixing to target weights, and token ids.
+
+Defined results, of every stage: an empty table gives an empty table; columns beyond those of `documents`, whatever their
+names, pass through all but the last stage; null ids, languages and sources are values like others; texts are read whole.
+Null and empty texts fail the quality rules, so later stages see none from here, but take them as their operators say.
+Repeated rows are judged alike, lose the same lines, and count as copies of each other: one of them stays. Ties between
+documents go to the least doc_id, then the least hash of the text.
+"""
 
 from __future__ import annotations
 
