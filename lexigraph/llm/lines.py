@@ -39,8 +39,9 @@ def windows(docs: DataFrame) -> DataFrame:
         places = F.when(F.size(lines) >= WINDOW, F.sequence(F.lit(0), F.size(lines) - WINDOW)).otherwise(F.array().cast("array<int>"))
         return F.transform(places, lambda i: F.struct(i.alias("p"), F.xxhash64(line(i), line(i + 1), line(i + 2)).alias("h1"), F.xxhash64(F.lit(7), line(i + 2), line(i), line(i + 1)).alias("h2")))
 
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.explode(_with(_lines(F.col("text")), each)).alias("w"))
-    return rows.select("doc_id", "t", "w.*")
+    # The text's hash stands below the explosion, or it would be worked out for each window.
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), _with(_lines(F.col("text")), each).alias("ws"))
+    return rows.select("doc_id", "t", F.explode("ws").alias("w")).select("doc_id", "t", "w.*")
 
 
 def removals(docs: DataFrame) -> DataFrame:

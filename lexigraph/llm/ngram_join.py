@@ -5,13 +5,13 @@ collapse into one node at once (the node's id is a hash of the set). The join fi
 `100 * intersection >= 80 * union`, and returns components.
 
 Global order. Three eighths of the hash space, the ranked class, are ordered by document frequency, then hash; the rest
-follows by hash. The order is cut into fragments by hash range, one or more a task: each fragment sees the tokens of all
-nodes in its range, counts frequencies there and sends back only tokens that occur in two nodes or more. A node survives
+follows by hash. For the frequencies, tokens are dealt by hash to shards, some a task, one after another: each shard sees its
+tokens of all nodes, counts frequencies and sends back only tokens that occur in two nodes or more. A node survives
 if its share of such tokens allows a link at all (a linked node misses at most a fifth of its tokens elsewhere), and its
 prefix, the first `n/5 + 1` tokens of the order, goes to buckets by token; two linked nodes share a token of both prefixes.
 
-Overlaps. Candidates of a bucket are counted fragment by fragment: partial overlaps of the pair in each of PARTS cuts of
-the order, then the sum per pair against the threshold. No bucket emits all its pairs: in each round every row is compared
+Overlaps. The order is cut into PARTS fragments: the ranked class, and ranges of the rest. Candidates of a bucket are counted
+fragment by fragment: partial overlaps of the pair in each, then the sum per pair against the threshold. No bucket emits all its pairs: in each round every row is compared
 with one hub of its bucket, and rows whose component is the hub's are skipped, so a group of near copies costs its size,
 not its square. Once the cross-component pairs that are left are few (linear in the rows of the buckets), or after ROUNDS, all of them
 are tested, so the result is exact whatever the hubs were: pair by pair in small buckets, in large ones in blocks, whose
@@ -259,7 +259,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(part_of: int):
-    """Documents of nodes to rows (node, part, held): the set cut by hash range."""
+    """Documents of nodes to rows (node, part, held): the set, cut along the order (the ranked class, then the rest by hash)."""
 
     def run(batches):
         known = _Hashes()
@@ -269,8 +269,9 @@ def _sets(part_of: int):
                 tokens = shingles(text, known)
                 if node_id(tokens) != node:  # another row of the same doc_id
                     continue
-                cut = np.searchsorted(tokens, [(-(1 << 63)) + i * ((1 << 64) // part_of) for i in range(1, part_of)])
-                out += [(node, i, x.tobytes()) for i, x in enumerate(np.split(tokens, cut))]
+                first, rest = tokens[_ranked(tokens)], tokens[~_ranked(tokens)]
+                cut = np.searchsorted(rest, [(-(1 << 63)) + i * ((1 << 64) // (part_of - 1)) for i in range(1, part_of - 1)])
+                out += [(node, i, x.tobytes()) for i, x in enumerate([first, *np.split(rest, cut)])]
             if len(known) > 2_000_000:
                 known = _Hashes()
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary())], names=["node", "part", "held"])
@@ -361,9 +362,19 @@ def _block_links(batches):
 
 
 def _in_blocks(rows_of: DataFrame, tokens: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links of buckets with many strong rows. A bucket of b blocks is b * b / 2 tasks' worth of rows, none of them pairs."""
-    own = rows_of.join(tokens.select("token", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")), "token").withColumn("i", F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks")).cast("int"))
-    own = common.checkpoint(own.select("token", "node", "label", "strong", "blocks", "i"))
+    """Links of buckets with many strong rows. A bucket of b blocks is b * b / 2 tasks' worth of rows, none of them pairs.
+
+    Buckets of one hub that overlap so much that comparing their union costs no more than comparing each are compared as one:
+    near copies share many frequent tokens.
+    """
+    own = rows_of.join(tokens.select("token", "all", F.col("hub.pick.node").alias("family")), "token").select("token", "node", "label", "strong", "family")
+    own = common.checkpoint(own)
+    apart = tokens.groupBy(F.col("hub.pick.node").alias("family")).agg(F.sum(F.col("all").cast("double") * F.col("all")).alias("cost"))
+    joint = own.groupBy("family").agg(F.count_distinct("node").alias("rows")).join(apart, "family").select("family", (F.col("rows").cast("double") * F.col("rows") <= F.col("cost")).alias("one"))
+    merged = own.join(joint, "family").withColumn("token", F.when(F.col("one"), F.xxhash64(F.lit(1), "family")).otherwise(F.xxhash64(F.lit(2), "token")))
+    own = merged.groupBy("token", "node").agg(F.min("label").alias("label"), F.max("strong").alias("strong"))
+    sizes = own.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = common.checkpoint(own.join(sizes, "token").withColumn("i", F.pmod(F.xxhash64(F.lit(3), F.col("node")), F.col("blocks")).cast("int")))
     wanted = own.select(F.col("node").alias("a"), F.col("node").alias("b")).distinct()
     sets = _sets_of(wanted, nodes, texts, wanted.count() <= SMALL)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

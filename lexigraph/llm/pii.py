@@ -143,8 +143,8 @@ class Tagger:
         """Twice the hidden states (time x units x batch), as _run gives them: half-scaled gates, so that one tanh serves all."""
         h3 = 3 * HIDDEN
         scale = np.repeat(np.array([0.5, 1.0], np.float32), [h3, HIDDEN])
-        w = self.w["xb" if back else "xf"] * scale
-        u = np.ascontiguousarray((self.w["hb" if back else "hf"] * scale * np.float32(0.5)).T)
+        w = (self.w["xb" if back else "xf"] * scale).astype(np.float32)
+        u = np.ascontiguousarray((self.w["hb" if back else "hf"] * scale * np.float32(0.5)).T.astype(np.float32))
         n, size = x.shape
         hid = np.zeros((n, HIDDEN, size), np.float32)
         h, c, th = (np.zeros((HIDDEN, size), np.float32) for _ in range(3))

@@ -507,7 +507,7 @@ def test_pii_patterns():
 
 @pytest.fixture(scope="module")
 def tagger(docs):
-    return pii.fitted(pii.pieces(docs), 1500)
+    return pii.fitted(pii.pieces(docs), 2500)
 
 
 def test_pii_model(docs, none, tagger):
@@ -566,7 +566,9 @@ def test_pii_model_reads_text_without_digits(docs, tagger):
     assert all(np.array_equal(a, model.viterbi(e)) for a, e in zip(pii._decode(model, scores), scores, strict=True))
     lead = "abc fed cab " * 3000
     said = lead + "jane (at) example dot com " + "abc fed cab " * 30 + "Licensed 2.0. or version 4.0. of"
-    assert pii.spans(tagger, [said])[0] == [("other", len(lead), len(lead) + 25)]
+    found = pii.spans(tagger, [said])[0]
+    assert ("other", len(lead), len(lead) + 25) in found  # far beyond any prefix, by its exact bounds
+    assert not any(a < said.index(v) + 4 and said.index(v) < b for _, a, b in found for v in ("2.0.", "4.0."))
 
 
 def deduped_by_force(rows):
