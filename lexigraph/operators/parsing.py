@@ -1,6 +1,6 @@
 """Markdown and reStructuredText to sections (heading, depth, content, code blocks).
 
-No built-in expression parses blocks, so this is the engine's one text UDF; it works on Arrow batches.
+No built-in expression parses blocks, so this is the engine's one pass of texts through Python; it works on Arrow batches.
 
 Markdown: a document's top-level headings (# and underlined), paragraphs and code blocks count; lists, quotes, tables and
 HTML blocks are recognised and left out. Inline code, images and tags contribute nothing, links their text.
@@ -13,8 +13,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -251,18 +251,19 @@ def rst(text: str, fix_overlines: bool = False) -> list[dict]:
     return out.done
 
 
-def sections(text: Column, parser: Column, fix_overlines: bool = False) -> Column:
-    """Sections of a text; parser is 'rst' or 'markdown'."""
-
-    @F.pandas_udf(SECTIONS)
-    def parse(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, kinds in parts:
-            yield pd.Series([rst(t or "", fix_overlines) if k == "rst" else markdown(t or "") for t, k in zip(texts, kinds, strict=True)])
+def parsed(files: DataFrame, text: str = "text", path: str = "path", fix_overlines: bool = False) -> DataFrame:
+    """files with a column sections; the parser follows the path's extension. A pass over Arrow batches; other columns as they are."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    # So marked, the plan keeps it where it stands: it isn't copied into what uses its result.
-    return parse.asNondeterministic()(text, parser)
+    kind = to_arrow_schema(StructType.fromDDL(f"sections {SECTIONS}")).field(0)
+    names = files.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, parsers = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
+            found = [rst(t or "", fix_overlines) if k == "rst" else markdown(t or "") for t, k in zip(texts, parsers, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, kind.type)], names=[*names, "sections"])
 
-def parsed(files: DataFrame, text: str = "text", path: str = "path", fix_overlines: bool = False) -> DataFrame:
-    """files with a column sections; the parser follows the path's extension."""
-    return files.withColumn("sections", sections(F.col(text), T.parser_of(F.col(path)), fix_overlines))
+    given = files.select("*", F.col(text).cast("string").alias("_text"), T.parser_of(F.col(path)).alias("_parser"))
+    return given.mapInArrow(run, StructType([*files.schema.fields, *StructType.fromDDL(f"sections {SECTIONS}").fields]))
