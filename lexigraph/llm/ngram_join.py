@@ -51,7 +51,7 @@ STAR = 256
 #: Tokens that a worker holds before it deals them to the fragments.
 HELD = 1_000_000
 #: A bucket with more strong rows than this is compared in blocks of so many rows, as products of indicator matrices.
-MANY, BLOCK = 64, 2048
+MANY, BLOCK = 64, 1024
 #: Candidate pairs that are sent to every executor rather than shuffled with the sets; 24 bytes each.
 SMALL = 200_000
 
@@ -298,33 +298,15 @@ def _possible(a: str, b: str):
     return ((100 + PERCENT) * most >= PERCENT * (n + m)) & (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Of links between n rows, enough to connect what is linked."""
-    root, out = list(range(n)), []
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs.tolist():
-        x, y = find(a), find(b)
-        if x != y:
-            root[x] = y
-            out.append((a, b))
-    return out
-
-
-def _compared(nodes: list, labels: list, strong: list, parts: list[list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
+def _compared(nodes: list, labels: list, strong: list, cuts: list[list[np.ndarray]]) -> list[tuple[int, int, int, int]]:
     """Links (a, b, na, nb) that connect a block's rows: partial overlaps cut by cut of the order, then the sum per pair."""
     k = len(nodes)
-    sizes = np.array([sum(len(p) for p in ps) for ps in parts], np.int64)
+    sizes = np.array([sum(len(p) for p in ps) for ps in cuts], np.int64)
     first = np.flatnonzero(np.array(strong, bool))
     overlap = np.zeros((len(first), k), np.float32)
     for cut in range(PARTS):
-        flat = np.concatenate([ps[cut] for ps in parts])
-        owner = np.repeat(np.arange(k), [len(ps[cut]) for ps in parts])
+        flat = np.concatenate([ps[cut] for ps in cuts])
+        owner = np.repeat(np.arange(k), [len(ps[cut]) for ps in cuts])
         _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
         shared = count[column] > 1
         column, owner = np.unique(column[shared], return_inverse=True)[1], owner[shared]
@@ -336,10 +318,17 @@ def _compared(nodes: list, labels: list, strong: list, parts: list[list[np.ndarr
             held = np.zeros((k, min(1024, width - at)), np.float32)
             held[owner[lo:hi], column[lo:hi] - at] = 1
             overlap += held[first] @ held.T
-    label = np.array(labels, np.int64)
-    linked = ((100 + PERCENT) * overlap >= PERCENT * (sizes[first][:, None] + sizes[None, :])) & (label[first][:, None] != label[None, :])
-    x, y = np.nonzero(linked)
-    return [(nodes[a], nodes[b], int(sizes[a]), int(sizes[b])) for a, b in _spanning(np.stack([first[x], y], axis=1), k)]
+    label, root, out = np.array(labels, np.int64), np.arange(k), []
+    for at in range(0, len(first), 128):  # a few rows at a time, so that nothing but the overlaps is as large as they are
+        own = first[at : at + 128]
+        linked = ((100 + PERCENT) * overlap[at : at + 128].astype(np.int64) >= PERCENT * (sizes[own][:, None] + sizes[None, :])) & (label[own][:, None] != label[None, :])
+        for x, ok in zip(own.tolist(), linked, strict=True):
+            others = np.flatnonzero(ok & (root != root[x]))
+            if len(others):  # one link to each part that isn't connected yet
+                parts, some = np.unique(root[others], return_index=True)
+                out += [(nodes[x], nodes[y], int(sizes[x]), int(sizes[y])) for y in others[some].tolist()]
+                root[np.isin(root, parts)] = root[x]
+    return out
 
 
 def _block_links(batches):
