@@ -253,6 +253,36 @@ def test_quality_cutoffs_end_to_end(spark):
     assert quality.filtered(docs, known).columns == docs.columns
 
 
+def test_quality_learns_from_every_label(spark):
+    """More labels than any bound that was: cutoffs equal those of all texts in memory, and so do the order statistics."""
+    rng = random.Random(8)
+    stock = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(stock, k=50)) + f" W{i}" + "!#" * int(rng.expovariate(0.4)), rng.choice(["en", "en", "en", "de", None])) for i in range(24_000)]
+    labels = [(d, int(rng.random() < 0.9)) for d, _, _ in rows]
+    rows += [(d, t, lang) for d, (_, t, lang) in zip(range(30_000, 33_000), rows, strict=False)] + [(7, "a second text of one id " * 30, "en"), (8, rows[9][1], "de"), (None, rows[10][1] + "#" * 90, "en"), (33_000, " ".join(stock[:60]) + "#" * 90, "es")]
+    labels += [(d, 1) for d in range(30_000, 31_000)] + [(33_000, 1), (40_000, 1), (None, 1), (11, None)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7), spark.createDataFrame(labels, "doc_id long, quality int")
+    best, least, texts = {}, {}, {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            best[d] = max(q, best.get(d, 0))
+    for r in docs.selectExpr("*", "xxhash64(text) as t", "pmod(xxhash64(xxhash64(text), 1L), 2) as half").collect():
+        n, _, _, _, repeats, features = quality.measure(r.text.encode())
+        if r.doc_id in best and n >= 50 and 100 * repeats <= 50 * n:
+            least[r.doc_id] = min(least.get(r.doc_id, (1 << 63,)), (r.t, r.lang or "", r.half, features))
+    for d, (t, lang, half, features) in least.items():
+        texts[t, lang] = max(texts.get((t, lang), (0,)), (best[d], half, features))
+    made = [(lang, *x) for (_, lang), x in texts.items()]
+    want = quality.cutoffs([x[0] for x in made], np.array([x[3] for x in made]), np.array([x[1] == 1 for x in made]), np.array([x[2] == 1 for x in made]))
+    assert len(made) > 23_000 and set(want) == {"", "de", "en"} and want["en"][0] > quality.FLOORS[0]
+    assert quality.learn(docs, known) == want
+    some = [(x[0], i, v) for x in made[:3000] for i, v in enumerate(x[3]) if i < 3]
+    ranks = {("en", i): [0, 1, 7, 900, 10_000] for i in range(3)}
+    got = quality.highest(spark.createDataFrame(some, "lang string, feature int, value double"), ranks, 5)
+    down = {i: sorted((v for lang, j, v in some if lang == "en" and i == j), reverse=True) for i in range(3)}
+    assert got == {("en", i, k): down[i][k] for i in range(3) for k in (0, 1, 7, 900)}
+
+
 def test_toxicity(spark, none):
     rng = random.Random(2)
     w = lambda: "".join(rng.choices("mnopqrst", k=5))
