@@ -1,13 +1,14 @@
 """BPE encoding and decoding by speculation and verification.
 
-A text is normalised and cut into pre-tokens; each distinct pre-token is encoded once a worker. Speculation: greedy
-longest match over the vocabulary proposes its tokens. Verification: a proposal is right if each proposed token's own
-encoding is that token alone, and for each adjacent pair the encoding of the pair's joint symbols is the pair itself;
-the checks run over all pairs of a batch's new words at once, as one lookup of distinct pair codes in a table of known
-verdicts. Only words with a failing pair go through exact merging by rank.
+A text is normalised and cut at white space and into pre-tokens; each distinct one is encoded once a task. Speculation:
+the longest token of the vocabulary at a place, found in a trie, is proposed. Verification: a proposal stands if the
+encoding of its symbols and its left neighbour's is just these two tokens (of a first token's symbols: that token), looked
+up in a table of verdicts, which a worker keeps. One that fails gives way to the next shorter token there, and a place
+without any to a shorter token before it. Verdicts, and words whose letters aren't all tokens, come from exact merging.
 
 Why pairs suffice: merges of rank order never cross a boundary between two tokens unless they would also cross it when
-these two stand alone, so compatible neighbours give a compatible word.
+these two stand alone, so compatible neighbours give a compatible word. So a stretch has one such sequence of tokens, and
+a place that no token can follow once need not be reached again: a word takes time in proportion to its length.
 
 The vocabulary file is a parameter; it is read on the driver and sent as a broadcast (its size is that of the file).
 Defined results: null is the empty text; empty text has no tokens; very long texts and words are whole; rows are
@@ -22,6 +23,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct stretches between white space that a worker remembers; beyond it, it starts anew.
+#: Distinct pre-tokens and stretches between white space that a task remembers, and a worker's verdicts on pairs; beyond it, it starts anew.
 MEMORY = 1_000_000
+#: What is added to the letter of a word's last symbol, so that each symbol is one character in the trie.
+LAST = 0x1000
 
 
 @functools.cache
@@ -62,22 +66,40 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.merges = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.ids = {v: k for k, v in [*self.vocab.items(), *self.special.items()]}
-        self.longest = max(map(len, self.vocab))
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
+        self.table = dict(enumerate(self.letters))
+        self.shown = {i: s + " " for i, s in self.ids.items()}
         self.single: dict[int, bool] = {}  # whether a token encodes as itself
         self.pairs: dict[int, bool] = {}  # verdicts by left * 2^32 + right
         self.odd = re.compile("[\x1c-\x1f]").search
+        self._plant()
         self.reset()
 
+    def _plant(self) -> None:
+        """The trie of the tokens' symbols (under the empty string the longest token that ends there or before), and each token's next shorter prefix."""
+        self.trie: dict = {"": -1}
+        self.longest, self.count, self.shorter = 0, {}, {}
+        for token, i in sorted(self.vocab.items(), key=lambda x: len(x[0])):
+            symbols = self._split(token)
+            spelt = "".join(symbols[:-1]) + self._last(symbols[-1])
+            node = self.trie
+            for c in spelt:
+                node = node.setdefault(c, {"": node[""]})
+            self.shorter[i], node[""] = node[""], i
+            self.count[i], self.longest = len(spelt), max(self.longest, len(spelt))
+
+    def _last(self, symbol: str) -> str:
+        return chr(ord(symbol[0]) + LAST) if self.end and len(symbol) > 1 else symbol
+
     def reset(self) -> None:
-        self.known: dict[str, int] = {}  # pre-token to its place in `made`
-        self.made: list[tuple[np.ndarray, str]] = []  # ids, and their strings joined
-        self.chunks: dict[str, int] = {}  # what stands between white space, to its place in the arrays below
-        self.ends: list[str] = []
+        self.known: dict[str, int] = {}  # pre-tokens, and what stands between white space, to the place in the arrays below
+        self.ends: list[str] = []  # the tokens' strings, a space after each
         self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        # No stretch between white space begins with a line end: such keys are the special tokens.
+        self._add(["\n" + s for s in self.special], [*self.special.values()], [1] * len(self.special), [s + " " for s in self.special])
 
     @staticmethod
     def load(path: str) -> dict:
@@ -85,9 +107,8 @@ class Codec:
             return json.load(f)
 
     def normalise(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        # Letter by letter: a final sigma is lower-cased as any sigma.
-        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        # A final sigma is lower-cased as any sigma.
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def symbols(self, word: str) -> list[str]:
         out = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -116,20 +137,40 @@ class Codec:
                     heapq.heappush(heap, (r, x, sym[x], sym[y]))
         return [s for s in sym if s]
 
-    def propose(self, symbols: list[str]) -> list[str]:
-        """Greedy longest match; a token may take the word end only with the last symbol."""
-        whole, out, at = "".join(symbols), [], 0
-        stop = len(whole) - len(self.end)
+    def propose(self, spelt: str) -> list[int]:
+        """Longest tokens first, each verified beside its left neighbour; nothing if the vocabulary lacks a letter."""
+        trie, longest, count, shorter, verdicts = self.trie, self.longest, self.count, self.shorter, self.pairs
+        out: list[int] = []
+        dead: set[int] = set()
+        at, stop, proposed = 0, len(spelt), -1
         while at < stop:
-            if len(whole) - at <= self.longest and whole[at:] in self.vocab:
-                return [*out, whole[at:]]
-            for to in range(min(stop, at + self.longest), at, -1):
-                if whole[at:to] in self.vocab and (to < stop or not self.end):
-                    break
-            else:
-                return []  # not a word of this vocabulary's letters
-            out.append(whole[at:to])
-            at = to
+            if proposed < 0:
+                node = trie
+                for c in spelt[at : at + longest]:
+                    if (below := node.get(c)) is None:
+                        break
+                    node = below
+                proposed = node[""]
+            while proposed >= 0:
+                if at + count[proposed] not in dead:
+                    if not out:
+                        fine = self._alone(proposed)
+                    elif (fine := verdicts.get(code := out[-1] << 32 | proposed)) is None:
+                        fine = self._together(code)
+                    if fine:
+                        break
+                proposed = shorter[proposed]
+            if proposed >= 0:
+                out.append(proposed)
+                at += count[proposed]
+                proposed = -1
+                continue
+            while proposed < 0:
+                if not out:
+                    return []
+                dead.add(at)
+                at -= count[out[-1]]
+                proposed = shorter[out.pop()]
         return out
 
     def _split(self, token: str) -> list[str]:
@@ -138,23 +179,6 @@ class Codec:
             return [*body[:-1], body[-1] + self.end]
         return list(token)
 
-    def _judge(self, proposals: list[list[str]]) -> list[bool]:
-        """Verifies many words at once."""
-        ids = [np.fromiter((self.vocab[t] for t in p), np.int64, len(p)) for p in proposals]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(ids)), sizes)
-        good = np.ones(len(ids), bool)
-        tokens, inverse = np.unique(flat, return_inverse=True)
-        fine = np.array([self._alone(int(t)) for t in tokens], bool)
-        good[owner[~fine[inverse]]] = False
-        inside = owner[1:] == owner[:-1]
-        codes = (flat[:-1] << 32 | flat[1:])[inside]
-        pairs, inverse = np.unique(codes, return_inverse=True)
-        fine = np.array([self._together(int(c)) for c in pairs], bool)
-        good[owner[:-1][inside][~fine[inverse]]] = False
-        return (good & (sizes > 0)).tolist()
-
     def _alone(self, i: int) -> bool:
         if i not in self.single:
             self.single[i] = self.merge(self._split(self.ids[i])) == [self.ids[i]]
@@ -163,77 +187,82 @@ class Codec:
     def _together(self, code: int) -> bool:
         if code not in self.pairs:
             a, b = self.ids[code >> 32], self.ids[code & 0xFFFFFFFF]
-            self.pairs[code] = self.merge(self._split(a) + self._split(b)) == [a, b]
+            self.pairs[code] = (a, b) not in self.merges and self.merge(self._split(a) + self._split(b)) == [a, b]
         return self.pairs[code]
 
     def learn(self, words: Iterable[str]) -> None:
         """Encodes words that aren't known yet."""
-        new = list(words)
-        symbols = [self.symbols(w) for w in new]
-        proposals = [self.propose(s) for s in symbols]
-        for word, s, p, ok in zip(new, symbols, proposals, self._judge(proposals), strict=True):
-            tokens = p if ok else self.merge(s)
-            ids = np.array([self.vocab[t] for t in tokens if t in self.vocab], np.uint32)
-            self.known[word] = len(self.made)
-            self.made.append((ids, " ".join([self.ids[int(i)] for i in ids])))
-
-    def pieces(self, chunk: str) -> list[str]:
-        """Pre-tokens; a special token's string, which is cut out before normalising, stands with a null before it."""
-        if self.cut is None or "<|" not in chunk or not any(s in chunk for s in self.special):
-            return self.words(self.normalise(chunk))
-        out: list[str] = []
-        for part in self.cut.split(chunk):
-            out.extend(["\0" + part] if part in self.special else self.words(self.normalise(part)))
-        return out
-
-    def _remember(self, chunks: list[str]) -> None:
-        """Encodes chunks of text that aren't known yet. No pre-token spans white space, so chunks between it are enough."""
-        cut = [self.pieces(c) for c in chunks]
-        new = {w for ws in cut for w in ws if w not in self.known}
-        for s in [w for w in new if w[0] == "\0" and w[1:] in self.special]:
-            new.discard(s)
-            self.known[s] = len(self.made)
-            self.made.append((np.array([self.special[s[1:]]], np.uint32), s[1:]))
-        self.learn(new)
-        made, ends = self.made, self.ends
-        rows = [np.concatenate([made[self.known[w]][0] for w in ws]) if ws else np.zeros(0, np.uint32) for ws in cut]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        base = len(ends)
-        if base + len(rows) > len(self.size):
-            self.start, self.size = (np.concatenate([x, np.zeros(base + len(rows), np.int64)]) for x in (self.start, self.size))
-        total = int(sizes.sum())
+        new, ids, sizes, ends = list(words), [], [], []
+        shown, table = self.shown.__getitem__, self.table
+        for word in new:
+            spelt = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(table)
+            made = self.propose(spelt[:-1] + self._last(spelt[-1] + self.end))
+            if not made:
+                made = [self.vocab[t] for t in self.merge(self.symbols(word)) if t in self.vocab]
+            ids += made
+            sizes.append(len(made))
+            ends.append("".join(map(shown, made)))
+        self._add(new, ids, sizes, ends)
+
+    def _add(self, keys: list[str], ids: list[int] | np.ndarray, sizes: list[int] | np.ndarray, ends: list[str]) -> None:
+        base, total = len(self.ends), len(ids)
+        if base + len(keys) > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros(base + len(keys), np.int64)]) for x in (self.start, self.size))
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(self.used + total, np.uint32)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(rows)
-        self.start[base : base + len(rows)] = self.used + np.cumsum(sizes) - sizes
-        self.size[base : base + len(rows)] = sizes
+        self.flat[self.used : self.used + total] = ids
+        self.size[base : base + len(keys)] = sizes
+        self.start[base : base + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        for i, (c, ws) in enumerate(zip(chunks, cut, strict=True)):
-            self.chunks[c] = base + i
-            ends.append("".join([t + " " for w in ws if (t := made[self.known[w]][1])]))
+        self.ends += ends
+        self.known.update(zip(keys, range(base, base + len(keys)), strict=True))
+
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of entries, joined."""
+        sizes = self.size[rows]
+        stops = np.cumsum(sizes)
+        return self.flat[np.repeat(self.start[rows] - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)]
+
+    def pieces(self, text: str) -> list[str]:
+        """What stands between white space; a special token, which is cut out before normalising, has a line end before it."""
+        if self.cut is not None and any(s in text for s in self.special):
+            return [x for part in self.cut.split(text) for x in (["\n" + part] if part in self.special else self._chunks(part))]
+        return self._chunks(text)
+
+    def _chunks(self, text: str) -> list[str]:
+        text = self.normalise(text)
+        # str.split() also splits at four control characters that aren't white space to the pattern.
+        return text.split() if not self.odd(text) else [text]
+
+    def _remember(self, chunks: list[str]) -> None:
+        """Encodes chunks of text that aren't known yet. No pre-token spans white space, so chunks between it are enough."""
+        cut, known, ends = [self.words(c) for c in chunks], self.known, self.ends
+        self.learn({w for ws in cut for w in ws if w not in known})
+        more = [(c, ws) for c, ws in zip(chunks, cut, strict=True) if c not in known]
+        at = [[known[w] for w in ws] for _, ws in more]
+        rows = np.array([i for x in at for i in x], np.int64)
+        bounds = np.cumsum([0, *map(len, at)])
+        sizes = np.diff(np.concatenate([[0], np.cumsum(self.size[rows])])[bounds])
+        self._add([c for c, _ in more], self._gather(rows), sizes, ["".join([ends[i] for i in x]) for x in at])
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Token ids of each text, and what decoding them gives."""
-        # str.split() also splits at four control characters that aren't white space to the pattern.
-        parts = [t.split() if not self.odd(t) else [t] for t in texts]
-        if len(self.chunks) > MEMORY:
+        parts = [self.pieces(t) for t in texts]
+        if len(self.known) > MEMORY:
             self.reset()
-        known = self.chunks
-        new = set().union(*parts).difference(known)
-        if new:
-            self._remember([*new])
-        return [self._one(ps) for ps in parts]
-
-    def _one(self, parts: list[str]) -> tuple[np.ndarray, str]:
-        if not parts:
-            return np.zeros(0, np.uint32), ""
-        at = list(map(self.chunks.__getitem__, parts))
-        rows = np.array(at)
-        sizes = self.size[rows]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[rows] - ends + sizes, sizes) + np.arange(ends[-1])]
-        return ids, "".join(map(self.ends.__getitem__, at))[:-1]
+        if len(self.pairs) > MEMORY:
+            self.pairs.clear()
+        known, flat = self.known, list(chain.from_iterable(parts))
+        at = list(map(known.get, flat, repeat(-1)))
+        rows = np.array(at, np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self._remember([*set(new)])
+            rows[missing] = [known[c] for c in new]
+            at = rows.tolist()
+        bounds = np.cumsum([0, *map(len, parts)]).tolist()
+        return [(self._gather(rows[a:b]), "".join(map(self.ends.__getitem__, at[a:b]))[:-1]) for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode_decode(self, text: str) -> tuple[np.ndarray, str]:
         return self.batch([text])[0]
@@ -246,20 +275,39 @@ class Codec:
         return " ".join(self.ids[i] for i in ids if i in self.ids)
 
 
+#: A worker's verdicts on pairs by the vocabulary's digest, as arrays: tasks that follow start with them.
+_KEPT: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _keep(digest: str, pairs: dict[int, bool]) -> None:
+    _KEPT.clear()
+    _KEPT[digest] = np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), bool, len(pairs))
+
+
+def _kept(digest: str) -> dict[int, bool]:
+    return dict(zip(*(x.tolist() for x in _KEPT[digest]), strict=True)) if digest in _KEPT else {}
+
+
 def _mapped(docs: DataFrame, schema: str, each, path: str | None) -> DataFrame:
     """mapInArrow over doc_id and text; each(ids, decoded) makes what follows doc_id in a row."""
-    spec, arrow = docs.sparkSession.sparkContext.broadcast(Codec.load(path or default_path())), common.arrow_schema(schema)
+    loaded = Codec.load(path or default_path())
+    digest = hashlib.sha256(json.dumps(loaded).encode()).hexdigest()
+    spec, arrow = docs.sparkSession.sparkContext.broadcast(loaded), common.arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
         codec = Codec(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                done = [each(*x) for x in codec.batch([(t or b"").decode("utf-8", "replace") for t in common.as_bytes(part.column(1))])]
-                made = [pa.array([r[i] for r in done], f.type) for i, f in enumerate([*arrow][1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *made], schema=arrow)
+        codec.pairs = _kept(digest)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    done = [each(*x) for x in codec.batch([(t or b"").decode("utf-8", "replace") for t in common.as_bytes(part.column(1))])]
+                    made = [pa.array([r[i] for r in done], f.type) for i, f in enumerate([*arrow][1:])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *made], schema=arrow)
+        finally:
+            _keep(digest, codec.pairs)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 

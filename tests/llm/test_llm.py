@@ -405,6 +405,24 @@ def test_bpe(docs, none):
     assert all(got[r[0]].n_tokens == len(lib.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS) and bpe.encoded(none).count() == 0
 
 
+def test_bpe_repairs_proposals_by_verdicts(monkeypatch):
+    """Words are merged exactly for verdicts on tokens and pairs alone, also where the longest tokens aren't right."""
+    from tokenizers import Tokenizer
+
+    lib, rng, calls = Tokenizer.from_file(bpe.default_path()), random.Random(7), []
+    codec, merge = bpe.Codec(bpe.Codec.load(bpe.default_path())), bpe.Codec.merge
+    monkeypatch.setattr(bpe.Codec, "merge", lambda self, symbols: calls.append(0) or merge(self, symbols))
+    syllables = ["th", "er", "on", "in", "ein", "ver", "sch", "é", "ción", "qu", "ou", "ß"]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randrange(2, 7))) for _ in range(40)) for _ in range(200)]
+    texts += ["a<|endoftext|>B<|ENDOFTEXT|>", "<|startoftext|><|endoftext|>\x1c Σ", "\x1c<|endoftext|>", "ab" * 5000 + "the" * 3000, "\x00</w>w</w>", "e\u0301'LL \u0301x"]
+    for t, (ids, decoded) in zip(texts, codec.batch(texts), strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert ids.tolist() == want and decoded == lib.decode(want, skip_special_tokens=False)
+    assert len(calls) <= len(codec.pairs) + len(codec.single)
+    monkeypatch.setattr(bpe, "MEMORY", 0)  # what was learnt is forgotten between batches
+    assert [x.tolist() for x, _ in codec.batch(texts[:9])] == [lib.encode(t, add_special_tokens=False).ids for t in texts[:9]]
+
+
 def test_pages(spark):
     page = '<html><body><header class="top"><h1>Site</h1></header><div id="cookie-notice">We use cookies</div><div class="wrap"><aside>Side</aside><div class="post-content"><h2>Title &eacute;</h2><p>First   para<br>line <a href=x>link</a>.<ul><li>one<li>two</ul></div><section id="comments"><p>nice!</p></section></div><form><label>Mail</label></form><footer>f</footer><script>if(a<b){x="</p>"}</script></body></html>'
     other = '<html><body><nav><a>m</a></nav><article><h1>T%d</h1><p title="a>b">Body %d &amp; more</p></article><div class="ad">Buy</div></body></html>'
