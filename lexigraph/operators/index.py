@@ -11,19 +11,19 @@ groups by their minima and maxima. totals has a row a version: N and the mean le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..plans.match import COLUMNS
 
 
-def token_rows(snippets: DataFrame) -> DataFrame:
-    """A row for each token of the indexed columns; breadcrumbs aren't indexed."""
-    each = F.array(*[F.struct(F.lit(c).alias("col"), T.tokens(F.col(c)).alias("tokens")) for c in COLUMNS])
+def token_rows(snippets: DataFrame, profile: str = "plain") -> DataFrame:
+    """A row for each token of the indexed columns, of the profile 'plain' or 'porter'; breadcrumbs aren't indexed."""
+    tokens = [stems(T.tokens(F.col(c))) if profile == "porter" else T.tokens(F.col(c)) for c in COLUMNS]
+    each = F.array(*[F.struct(F.lit(c).alias("col"), x.alias("tokens")) for c, x in zip(COLUMNS, tokens, strict=True)])
     cols = snippets.select("library_id", "library_version", F.col("id").alias("snippet_id"), F.explode(each).alias("x"))
     return cols.select("library_id", "library_version", "snippet_id", "x.col", F.posexplode("x.tokens").alias("pos", "term"))
 
@@ -33,24 +33,23 @@ def doc_stats(snippets: DataFrame) -> DataFrame:
     return snippets.select(F.col("id").alias("snippet_id"), sum(sizes[1:], sizes[0]).cast("long").alias("doc_len"))
 
 
-def stemmed(rows: DataFrame) -> DataFrame:
-    """The Porter profile: only distinct terms are stemmed, in Python; the join brings stems to their rows."""
+def stems(tokens: Column) -> Column:
+    """The Porter profile of tokens, where the texts are read: the distinct tokens of a batch are stemmed, in Python. Nothing is shuffled for it."""
 
-    @F.pandas_udf("string")
-    def stems(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from lexigraph.functions.porter import stem
+    @F.arrow_udf("array<string>")
+    def run(batch: pa.Array) -> pa.Array:
+        from lexigraph.functions.porter import known
 
-        for s in parts:
-            yield s.map(stem)
+        words = batch.flatten().dictionary_encode()
+        found = pa.array([known(w) for w in words.dictionary.to_pylist()], words.type.value_type)
+        return type(batch).from_arrays(pc.subtract(batch.offsets, batch.offsets[0]), found.take(words.indices))
 
-    vocabulary = rows.select("term").distinct().select("term", stems("term").alias("stem"))
-    return rows.join(vocabulary, "term").select(*[F.col("stem").alias("term") if c == "term" else c for c in rows.columns])
+    return run(tokens)
 
 
 def postings(snippets: DataFrame, profile: str = "plain") -> DataFrame:
     """profile: 'plain' or 'porter'."""
-    rows = token_rows(snippets)
-    return stemmed(rows) if profile == "porter" else rows
+    return token_rows(snippets, profile)
 
 
 def term_df(rows: DataFrame) -> DataFrame:
@@ -72,11 +71,18 @@ def write(snippets: DataFrame, path: str, profile: str = "plain") -> None:
     put(stats.groupBy(*KEYS).agg(F.count("*").alias("n_docs"), F.sum("doc_len").alias("sum_len")), "totals")
 
 
-def tables(snippets: DataFrame, profile: str = "plain", path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings, doc_stats and the corpus's figures (one row: n_docs, avgdl); of a written index, or made on the way."""
+def with_figures(stats: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """stats with n_docs and avgdl, one row's figures of the whole corpus, which are counted if they aren't given."""
+    if "n_docs" in stats.columns:
+        return stats
+    corpus = stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl")) if corpus is None else corpus
+    return stats.crossJoin(F.broadcast(corpus))
+
+
+def tables(snippets: DataFrame, profile: str = "plain", path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """postings, and doc_stats with the corpus's figures (n_docs, avgdl); of a written index, or made on the way."""
     if path:
         rows, stats, sums = (snippets.sparkSession.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "totals"))
         corpus = sums.agg(F.sum("n_docs").alias("n_docs"), (F.sum("sum_len") / F.sum("n_docs")).alias("avgdl"))
-        return rows, stats.select("snippet_id", "doc_len"), corpus
-    stats = doc_stats(snippets)
-    return postings(snippets, profile), stats, stats.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avgdl"))
+        return rows, with_figures(stats.select("snippet_id", "doc_len"), corpus)
+    return postings(snippets, profile), with_figures(doc_stats(snippets))

@@ -125,13 +125,13 @@ def _bm25(j: int) -> Column:
     return F.when(idf <= 0, FLOOR).otherwise(idf) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl")))
 
 
-def ranked(rows: DataFrame, stats: DataFrame, corpus: DataFrame, query: str, profile: str = "plain") -> DataFrame:
-    """snippet_id, rank of every document that matches. The three tables are those of `index.tables`."""
+def ranked(rows: DataFrame, stats: DataFrame, query: str, profile: str = "plain") -> DataFrame:
+    """snippet_id, rank of every document that matches. The two tables are those of `index.tables`; figures that stats lacks are counted."""
     tree = match.parse(query, match.porter_tokens if profile == "porter" else None)
     tf, phrases = frequencies(rows, tree)
     # One row each of global figures: sums, so their size is that of the query.
     df = tf.agg(F.array(*[F.count_if(F.col("all")[j] > 0) for j in range(len(phrases))]).alias("df"))
-    full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
+    full = tf.join(index.with_figures(stats), "snippet_id").crossJoin(F.broadcast(df))
 
     return full.where(_matches(tree, [0])).select("snippet_id", (-_score(tree, [0], _bm25)).alias("rank"))
 
@@ -152,7 +152,7 @@ def search(snippets: DataFrame, query: str, library_id: str | None = None, versi
     return own.join(F.broadcast(top), "id").orderBy("rank", "id")
 
 
-def ranked_batch(rows: DataFrame, stats: DataFrame, corpus: DataFrame, queries: dict[int, str], profile: str = "plain") -> DataFrame:
+def ranked_batch(rows: DataFrame, stats: DataFrame, queries: dict[int, str], profile: str = "plain") -> DataFrame:
     """query_id, snippet_id, rank of every match of each query; one pass over the postings for all."""
     trees = {q: match.parse(text, match.porter_tokens if profile == "porter" else None) for q, text in queries.items()}
     if not trees:
@@ -160,7 +160,7 @@ def ranked_batch(rows: DataFrame, stats: DataFrame, corpus: DataFrame, queries:
     # One tree holds the leaves of all queries in their order; each query's expressions start at its first leaf.
     tf, phrases = frequencies(rows, functools.reduce(lambda a, b: match.Op("OR", a, b), trees.values()))
     df = tf.agg(F.array(*[F.count_if(F.col("all")[j] > 0) for j in range(len(phrases))]).alias("df"))
-    full = tf.join(stats, "snippet_id").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(corpus))
+    full = tf.join(index.with_figures(stats), "snippet_id").crossJoin(F.broadcast(df))
     found, at = [], 0
     for q, tree in trees.items():
         found.append(F.when(_matches(tree, [at]), F.struct(F.lit(q).cast("long").alias("query_id"), (-_score(tree, [at], _bm25)).alias("rank"))))

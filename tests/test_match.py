@@ -53,3 +53,16 @@ def test_stemmer_equals_sqlite():
     db.execute("create virtual table v using fts5vocab(t, instance)")
     db.executemany("insert into t(rowid, x) values (?, ?)", enumerate(words))
     assert not [(words[d], s, stem(words[d])) for s, d in db.execute("select term, doc from v") if stem(words[d]) != s]
+
+
+def test_stems_are_made_without_a_shuffle(spark, rows):
+    """Each occurrence has its own stem, in its place; no token goes through a shuffle or a join for it."""
+    from lexigraph.functions.porter import stem
+
+    texts = [*rows, (121, "/a/b", "latest", None, "", "x.md"), (122, "/a/b", "v1", "running", "hopping " * 5000, "hoping.md")]
+    df = spark.createDataFrame(texts, "id long, library_id string, library_version string, title string, content string, source_path string").coalesce(1)
+    got = index.postings(df, "porter")
+    want = [(*r[:-1], stem(r.term)) for r in index.postings(df).collect()]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
