@@ -26,7 +26,7 @@ def fused(snippets: DataFrame, query: str, vector: list[float] | None, library_i
     if vector is None or not any(vector):
         both = text.withColumn("vec", F.lit(None).cast("double"))
     else:
-        near = semantic.scores(snippets, vector, library_id, version, leg, mode, max(leg * 200, 1000), bands)
+        near = semantic.scores(snippets, vector, library_id, version, leg, mode, bands)
         both = text.join(near.select("id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("score") + 1) / 2)).alias("vec")), "id", "full_outer")
     score = TEXT_WEIGHT * F.coalesce("fts", F.lit(0.0)) + VECTOR_WEIGHT * F.coalesce("vec", F.lit(0.0))
     return both.withColumn("score", score).orderBy(F.desc("score"), F.desc(F.col("fts").isNotNull()), "id").limit(limit)
@@ -44,7 +44,7 @@ def batch(snippets: DataFrame, queries: dict[int, tuple[str, list[float] | None]
         near = semantic.batch(semantic.scope(snippets, library_id, version), vectors, leg)
     else:
         # A query's signature picks its own candidates, so each vector has a scan of its own.
-        legs = [semantic.scores(snippets, v, library_id, version, leg, mode, max(leg * 200, 1000), bands).withColumn("query_id", F.lit(q).cast("long")) for q, v in vectors.items()]
+        legs = [semantic.scores(snippets, v, library_id, version, leg, mode, bands).withColumn("query_id", F.lit(q).cast("long")) for q, v in vectors.items()]
         near = functools.reduce(DataFrame.unionByName, legs) if legs else None
     if near is None:
         both = both.withColumn("vec", F.lit(None).cast("double"))

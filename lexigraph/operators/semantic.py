@@ -33,8 +33,8 @@ def scope(snippets: DataFrame, library_id: str | None, version: str | None) -> D
     return snippets if version is None else snippets.where(F.col("library_version") == version)
 
 
-def candidates(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, most: int = 4000, bands: DataFrame | None = None) -> DataFrame:
-    """snippet_id of rows that share a band with the query; the first `most` by id."""
+def candidates(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, most: int | None = 4000, bands: DataFrame | None = None) -> DataFrame:
+    """snippet_id of rows that share a band with the query; the first `most` by id, or all."""
     values = V.bands_of(query)
     rows = scope(bands if bands is not None else with_bands(snippets, len(query)), library_id, version)
     if values is None:
@@ -42,11 +42,12 @@ def candidates(snippets: DataFrame, query: list[float], library_id: str | None =
     hit = F.lit(False)
     for i, v in enumerate(values):
         hit = hit | (F.col(f"band{i + 1}") == v)
-    return rows.where(hit).select("snippet_id").orderBy("snippet_id").limit(most)
+    found = rows.where(hit).select("snippet_id")
+    return found if most is None else found.orderBy("snippet_id").limit(most)
 
 
-def scores(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh", most: int | None = None, bands: DataFrame | None = None) -> DataFrame:
-    """id, score: the best `limit`. mode 'lsh' scores candidates only, unless there are none; 'exact' scores all.
+def scores(snippets: DataFrame, query: list[float], library_id: str | None = None, version: str | None = None, limit: int = 20, mode: str = "lsh", bands: DataFrame | None = None) -> DataFrame:
+    """id, score: the best `limit`. mode 'lsh' scores candidates only, all of them, unless there are none; 'exact' scores all.
 
     bands: the stored band rows, which are narrow; the candidates' vectors are then fetched by id.
     """
@@ -55,7 +56,7 @@ def scores(snippets: DataFrame, query: list[float], library_id: str | None = Non
         return own.where("false").select("id", F.lit(0.0).alias("score"))
     score = V.cosine_to(query, F.col("embedding"))
     if mode == "lsh":
-        # Few rows are scored here, and unrolled sums beside unrolled bands would outgrow a generated method.
+        # Unless there are no candidates, few rows are scored here, and unrolled sums beside unrolled bands would outgrow a generated method.
         known = F.array(*[F.lit(float(x)) for x in query])
         score = V.cosine(known, F.col("embedding"))
         # The band test is an expression over the scanned row; whether any row passes is one number.
@@ -63,12 +64,11 @@ def scores(snippets: DataFrame, query: list[float], library_id: str | None = Non
         hit = F.lit(False)
         for c, v in zip(V.bands(F.col("embedding"), len(query)), values, strict=True):
             hit = hit | (c == v)
-        most = most or max(limit * 200, 1000)
-        found = own.where(hit).orderBy("id").limit(most)
+        found = own.where(hit)
         if bands is not None:
-            found = candidates(snippets, query, library_id, version, most, bands).withColumnRenamed("snippet_id", "id")
+            found = candidates(snippets, query, library_id, version, None, bands).withColumnRenamed("snippet_id", "id")
         some = found.agg((F.count("*") > 0).alias("some"))
-        own = own.join(found.select("id", F.lit(True).alias("hit")), "id", "left").crossJoin(F.broadcast(some)).where(F.col("hit") | ~F.col("some"))
+        own = own.join(found.select("id", F.lit(True).alias("hit")).distinct(), "id", "left").crossJoin(F.broadcast(some)).where(F.col("hit") | ~F.col("some"))
     scored = own.select("id", score.alias("score")).where("score is not null")
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 

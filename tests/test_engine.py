@@ -119,6 +119,15 @@ def test_vector_only_scores_all_rows(spark, tmp_path):
     assert ids(queries.QUERIES["hybrid_vector_only"](spark, str(tmp_path))) == [i for _, i in want]
 
 
+def test_all_candidates_are_scored(spark):
+    """Above the former cut (the first 20,000 candidates by id, in 100 * 200), the best candidate still counts."""
+    near = spark.range(21_000).select("id", F.lit("/a/b").alias("library_id"), F.lit("v").alias("library_version"), F.lit("t").alias("title"), F.lit("words").alias("content"), F.lit("p").alias("source_path"), F.when(F.col("id") == 20_999, F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.25))).alias("embedding"))
+    assert ids(hybrid.fused(near, "nothing", [1.0, 1.0], limit=2)) == [20_999, 0]
+    assert ids(semantic.scores(near, [1.0, 1.0], limit=2)) == [20_999, 0]
+    again = near.unionByName(near.where("id = 20999"))
+    assert ids(semantic.scores(again, [1.0, 1.0], limit=3)) == [20_999, 20_999, 0]
+
+
 def test_batches_give_what_single_queries_give(snippets):
     texts = {3: "rope OR weather", 4: "NEAR(undo knots, 3) OR signal", 5: "weather NOT rope", 6: "nothing"}
     for options in ({}, SAIL):
