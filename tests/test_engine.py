@@ -208,6 +208,31 @@ def test_rst():
     assert parsing.rst("====\nTop\n====\n", fix_overlines=True)[0] == {"heading": "Top", "depth": 1, "content": "", "code_blocks": []}
 
 
+@pytest.mark.parametrize("ext", ["md", "rst"])
+def test_parsers_hold_a_slice_of_a_batch(spark, monkeypatch, ext):
+    """Whatever a batch's rows, Python holds the sections of a slice, and sends them on in order; long texts are alone."""
+    import tracemalloc
+
+    part = {"md": "## Part\n\nwords\n\n", "rst": "Part\n----\n\nwords\n\n"}[ext]
+    texts = [part * (1 + i % 40) for i in range(1500)] + [part * 40_000, None, ""]
+    files = spark.createDataFrame([(i, f"{i}.{ext}", t) for i, t in enumerate(texts)], "id int, path string, text string").coalesce(1)
+    taken = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, run, schema, f=type(files).mapInArrow: taken.append((self, run)) or f(self, run, schema))
+    parsing.parsed(files)
+    (given, run), got = taken[0], []
+    batches = given.where(F.col("id") < 1500).toArrow().combine_chunks().to_batches()
+    assert len(batches) == 1
+    tracemalloc.start()
+    for out in run(iter(batches)):
+        got += zip(out.column(0).to_pylist(), (len(x) for x in out.column(out.num_columns - 1)), strict=True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(i, 1 + i % 40) for i in range(1500)]
+    assert peak < 5_000_000
+    rows = parsing.parsed(files).select("id", "text", F.size("sections").alias("n")).collect()
+    assert [r.n for r in rows] == [(t or "").count("Part") for t in texts] and [r.text for r in rows] == texts
+
+
 def test_parser_queries_read_markup(spark, tmp_path):
     import random
 
